@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft.llm import bpe, html_text, language, mixing, simhash, token_counts, toxicity, vectors
+from arcweft.llm import bpe, html_text, katz, language, mixing, simhash, token_counts, toxicity, vectors
 from arcweft.llm.common import load, remainder
 
 
@@ -37,6 +37,10 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(load(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 10)
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(load(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 7) == 2)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, tokenizer("byte_bpe_50k.json"))
