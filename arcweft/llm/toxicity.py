@@ -10,7 +10,7 @@ text.
 
 Defined cases: null and empty texts get the score of a text without known words; null labels are left out; documents
 labelled more than once count as often; with labels of one class only the score is that class's share, 0 if there are
-none; ties among words go by the word; extra columns pass on.
+none (next to it, as a probability); ties among words go by the word; extra columns pass on.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ from pyspark.sql import types as T
 from arcweft.llm.common import batches, configure, words
 
 FIT_ROWS, MOST_FEATURES, LEAST_DOCUMENTS = 20_000, 4096, 5
-RIDGE, INVARIANCE, ROUNDS = 1e-4, 1.0, 400
+RIDGE, INVARIANCE, ROUNDS = 0.5, 1.0, 400
+#: Power of the ratio of the classes by which rows of the rarer class weigh more.
+BALANCE = 0.5
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„’‘…¡¿"
 # Group terms by kind; a term is swapped for another of its line.
 GROUPS = [
@@ -155,16 +157,22 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
 
 
 def _descend(lists: list[np.ndarray], y: np.ndarray, swapped: np.ndarray, n: int) -> tuple[np.ndarray, float]:
-    """Full-batch Adam on log loss + ridge + the mean squared change of the logit under the swap."""
+    """Full-batch Adam on log loss + ridge + the mean squared change of the logit under the swap.
+
+    The ridge is a prior on weights, the same whatever the number of rows, so it weighs more where there are few.
+    """
     doc, word = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists) if lists else np.zeros(0, np.int64)
     moved = swapped[word] != word
     pair_doc, pair_from, pair_to = doc[moved], word[moved], swapped[word[moved]]
-    w, b = np.zeros(n), float(np.log(y.mean() / (1 - y.mean())))
+    odds = y.mean() / (1 - y.mean())
+    w, b = np.zeros(n), float(np.log(odds) * (1 - BALANCE))
+    each = np.where(y > 0, odds**-BALANCE, 1.0)
+    each /= each.mean()
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, ROUNDS + 1):
         z = b + np.bincount(doc, w[word], minlength=len(y))
-        error = (1 / (1 + np.exp(-z)) - y) / len(y)
-        grad = np.bincount(word, error[doc], minlength=n) + RIDGE * w
+        error = each * (1 / (1 + np.exp(-z)) - y) / len(y)
+        grad = np.bincount(word, error[doc], minlength=n) + RIDGE / len(y) * w
         if len(pair_doc):
             change = np.bincount(pair_doc, w[pair_from] - w[pair_to], minlength=len(y)) * (2 * INVARIANCE / len(y))
             grad += np.bincount(pair_from, change[pair_doc], minlength=n) - np.bincount(pair_to, change[pair_doc], minlength=n)
