@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Pieces of a growing state after which it is written as one.
 PIECES = 8
 MOST_ROUNDS = 100_000
+#: Rows of a wave that one task may number.
+SORTED_BY_ONE = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -123,31 +125,30 @@ def peel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level, pos): waves of nodes whose in-edges are all used up, in first-in-first-out order.
 
     nodes: (id); edges: (src, dst, adj_idx).  Nodes on or behind a cycle are absent.  A node's place follows that of
-    its last used in-edge; the first wave is in order of id.
+    its last used in-edge; the first wave is in order of id.  A round touches the wave's out-edges and the counts of
+    nodes that still wait.
     """
-    left = cut(edges.select("src", "dst", "adj_idx"))
-    waiting = cut(nodes.select(F.col("id").alias("node")))
-    done, level, offset = None, 0, 0
-    placed = waiting.limit(0).select("node", F.lit(0).alias("level"), F.lit(0).alias("pos"))
-    out = placed
-    keys = None
+    steps = cut(edges.select("src", "dst", "adj_idx"))
+    open_ = steps.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("left"))
+    none = F.lit(None).cast("struct<pos:int,adj_idx:int>")
+    state = cut(nodes.select(F.col("id").alias("node")).join(open_, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"), none.alias("k")))
+    out, level, offset = state.limit(0).select("node", F.lit(0).alias("level"), F.lit(0).alias("pos")), 0, 0
     while True:
-        free = waiting.join(left.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
-        if level == 0:
-            wave = ranked(free, [], [F.col("node")], F.floor(F.col("node") / F.lit(65536)))
-        else:
-            wave = ranked(free.join(keys, "node"), [], [F.col("k")], F.floor(F.col("k.pos") / F.lit(65536))).drop("k")
-        wave = cut(wave.select("node", F.lit(level).alias("level"), (F.col("n") + F.lit(offset)).cast("int").alias("pos")))
-        size = wave.count()
+        free = state.where("left = 0")
+        size = free.count()
         if not size:
             return out
-        out = wave if done is None else cut(out.union(wave)) if level % PIECES == 0 else out.union(wave)
-        done = True
-        used = left.join(wave, left["src"] == wave["node"])
-        fresh = used.groupBy(F.col("dst").alias("d")).agg(F.max(F.struct("pos", "adj_idx")).alias("k")).select(F.col("d").alias("node"), "k")
-        merged = fresh if keys is None else fresh.union(keys).groupBy("node").agg(F.max("k").alias("k"))
-        keys = cut(merged)
-        left = cut(left.join(wave.select(F.col("node").alias("src")), "src", "left_anti").select("src", "dst", "adj_idx"))
-        waiting = cut(waiting.join(wave, "node", "left_anti"))
+        order = F.col("node") if level == 0 else F.col("k")
+        if size <= SORTED_BY_ONE:
+            wave = free.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1)
+        else:
+            wave = ranked(free, [], [order], F.floor((F.col("node") if level == 0 else F.col("k.pos")) / F.lit(65536)))
+        wave = cut(wave.select("node", F.lit(level).alias("level"), (F.col("n") + F.lit(offset)).cast("int").alias("pos")))
+        out = wave if level == 0 else out.union(wave)
+        if level % PIECES == PIECES - 1:
+            out = cut(out)
+        used = wave.join(steps, wave["node"] == steps["src"]).groupBy(F.col("dst").alias("d")).agg(F.count("*").alias("c"), F.max(F.struct("pos", "adj_idx")).alias("new"))
+        rest = state.where("left > 0").join(used, F.col("node") == F.col("d"), "left")
+        state = cut(rest.select("node", (F.col("left") - F.coalesce("c", F.lit(0))).alias("left"), F.greatest("k", "new").alias("k")))
         offset += size
         level += 1
