@@ -1,0 +1 @@
+"""Graph operators: functions from DataFrames to DataFrames."""

@@ -1,0 +1 @@
+"""Loops that Catalyst does not have."""

@@ -1,0 +1 @@
+"""The engine has no streaming operators: graphs are tables, read as they are when a query runs."""
