@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from arcweft.llm.common import batches, configure, cut, words
 
 #: Tokens of a chunk, of a word partition and of a history partition, about.
-CHUNK, PER_PARTITION = 2_000_000, 6_000_000
+CHUNK, PER_PARTITION = 2_000_000, 3_000_000
 MOST_DISCOUNTED = 5
 NO_ID = -(1 << 63)
 END, BEGIN = 0xE0D, 0xB0  # stand for hashes of the end and the begin; no word has them but by chance of 2^-63
@@ -309,7 +309,8 @@ def score(docs: DataFrame, held_out: Column, text_column: str = "text", id_colum
     distinct = counted.agg(F.sum("distinct")).first()[0] or 0
 
     sent = pair_up(coded, counted, partitions)
-    sent = sent.repartition(partitions, "part")
+    # One part a task; the chunks' own sums go to a task of their own.
+    sent = sent.repartitionById(partitions + 1, F.when(F.col("part") < 0, F.lit(partitions)).otherwise(F.col("part")).cast("int"))
 
     def tables(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
         by_part: dict[int, list[dict]] = {}
@@ -331,27 +332,29 @@ def score(docs: DataFrame, held_out: Column, text_column: str = "text", id_colum
     def evaluate(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, rows in tables(it):
             of = dict(rows[0]["of"] or [])
-            if p < 0:
-                for r in rows:
-                    row, known, sizes = unpack(r["a"], np.int64), unpack(r["d"], np.int64), unpack(r["c"], np.int64)
-                    base = np.frombuffer(r["e"], np.float64) - sizes * math.log10(tokens + distinct + 1.0)
-                    index = np.arange(len(row))
-                    yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]] * len(row), pa.int64()), pa.array(index), pa.array(row), pa.array(unpack(r["b"], np.uint8) > 0), pa.array(sizes), pa.array(known), pa.array(base), pa.array(np.zeros(len(row)))], names=OUT)
-                continue
-            table = Table(rows)
-            table.weigh(discounts(np.array([of.get(r, 0) for r in range(1, MOST_DISCOUNTED + 2)])), tokens, distinct)
+            if p >= 0:
+                table = Table(rows)
+                table.weigh(discounts(np.array([of.get(r, 0) for r in range(1, MOST_DISCOUNTED + 2)])), tokens, distinct)
             for r in rows:
-                h, w, c, _ = _bigrams(r)
-                logs = table.log10(h, w, c, tokens, distinct)
-                doc, times = unpack(r["f"], np.uint32), unpack(r["e"], np.int64)
-                sums = np.bincount(doc, np.repeat(logs, times))
-                there = np.flatnonzero(np.bincount(doc))
-                none = lambda kind, k=len(there): pa.nulls(k, kind)
-                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]] * len(there), pa.int64()), pa.array(there), none(pa.int64()), none(pa.bool_()), none(pa.int64()), none(pa.int64()), none(pa.float64()), pa.array(sums[there])], names=OUT)
-
-    parts = sent.crossJoin(F.broadcast(gathered)).mapInArrow(evaluate, "chunk long, place long, row long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    whole = parts.groupBy("chunk", "place").agg(*[F.max(c).alias(c) for c in ("row", "held_out", "n_tokens", "n_known", "base_score")], F.sum("score").alias("score"))
+                if p < 0:  # what the chunk itself said of its documents
+                    blobs = [r["a"], r["b"], r["c"], r["d"], r["e"]]
+                else:
+                    h, w, c, _ = _bigrams(r)
+                    logs = table.log10(h, w, c, tokens, distinct)
+                    doc, times = unpack(r["f"], np.uint32), unpack(r["e"], np.int64)
+                    blobs = [b"", b"", b"", b"", np.bincount(doc, np.repeat(logs, times)).tobytes()]
+                yield pa.RecordBatch.from_arrays(_row(r["chunk"], p, blobs)[:7], names=BLOBS[:7])
+
+    def finish(part: pd.DataFrame) -> pd.DataFrame:
+        own = part[part["part"] < 0].iloc[0]
+        row, known, sizes = unpack(own["a"], np.int64), unpack(own["d"], np.int64), unpack(own["c"], np.int64)
+        total = np.zeros(len(row))
+        for blob in part[part["part"] >= 0].sort_values("part")["e"]:
+            sums = np.frombuffer(blob, np.float64)
+            total[: len(sums)] += sums
+        base = np.frombuffer(own["e"], np.float64) - sizes * math.log10(tokens + distinct + 1.0)
+        return pd.DataFrame({"row": row, "held_out": unpack(own["b"], np.uint8) > 0, "n_tokens": sizes, "n_known": known, "base_score": base, "score": total})
+
+    parts = sent.crossJoin(F.broadcast(gathered)).mapInArrow(evaluate, "chunk long, part int, a binary, b binary, c binary, d binary, e binary")
+    whole = parts.groupBy("chunk").applyInPandas(finish, "row long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return whole.select(F.nullif(F.col("row"), F.lit(NO_ID)).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-OUT = ["chunk", "place", "row", "held_out", "n_tokens", "n_known", "base_score", "score"]
