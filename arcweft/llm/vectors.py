@@ -3,7 +3,7 @@
 Vectors take part if they are not null, have the table's usual length, hold only finite numbers and are not zero.
 
 nearest: vectors are dealt by a hash of their content over shards of about SHARD distinct vectors.  Each shard holds a
-directed graph: greedy searches from a central vector propose neighbours, and a candidate is dropped where a kept
+directed graph: greedy searches from STARTS vectors propose neighbours, and a candidate is dropped where a kept
 neighbour is closer to it, by a factor ALPHA, than the vector itself, so that long edges in other directions stay.
 Every query searches each shard's graph with a beam; distances of what it finds are computed in double precision.  Of
 exact copies the k + 1 smallest ids are kept with their vector: a query can need no more.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 from arcweft.llm.common import cut, forest, linked_components
 
-SHARD, QUERY_BLOCK, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 4096, 24, 40, 96, 1.2
+SHARD, QUERY_BLOCK, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 4096, 24, 40, 160, 1.2
+#: Nodes of a shard at which searches start.
+STARTS = 32
 TILE, BLOCK, SEED = 4096, 16, 5
 
 
@@ -40,7 +42,7 @@ def usable(vectors: DataFrame, column: str = "embedding") -> Column:
     return F.col(column).isNotNull() & (F.size(column) == (usual.n if usual else -1)) & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def _beam(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, width: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def _beam(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, queries: np.ndarray, width: int, expand: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """The width nearest nodes found for each query by greedy search, and their squared distances."""
     q, n = len(queries), len(x)
     seen = np.zeros((q, n + 1), bool)
@@ -48,8 +50,11 @@ def _beam(x: np.ndarray, graph: np.ndarray, start: int, queries: np.ndarray, wid
     ids = np.full((q, width), n, np.int64)
     dist = np.full((q, width), np.inf, np.float32)
     done = np.ones((q, width), bool)
-    ids[:, 0], done[:, 0], seen[:, start] = start, False, True
-    dist[:, 0] = ((queries - x[start]) ** 2).sum(1)
+    starts = starts[:width]
+    first = ((queries[:, None, :] - x[starts][None]) ** 2).sum(2)
+    order = np.argsort(first, axis=1, kind="stable")
+    k = len(starts)
+    ids[:, :k], dist[:, :k], done[:, :k], seen[:, starts] = starts[order], np.take_along_axis(first, order, 1), False, True
     padded = np.vstack([x, np.zeros((1, x.shape[1]), x.dtype)])
     while True:
         active = np.flatnonzero(~done.all(1))
@@ -101,11 +106,15 @@ def _prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: in
     return out
 
 
-def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
-    """Neighbours of each vector (n: none) and the node at which searches start."""
+def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of each vector (n: none) and the nodes at which searches start: the most central and some by chance.
+
+    With many near copies the most central node lies among them, and their edges to each other leave few ways out.
+    """
     n = len(x)
-    start = int(((x - x.mean(0)) ** 2).sum(1).argmin())
     rng = np.random.default_rng(SEED)
+    center = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    starts = np.unique(np.append(rng.permutation(n)[: STARTS - 1], center))
     graph = np.full((n + 1, degree), n, np.int64)
     if n > 1:
         graph[:n, : degree // 2] = rng.integers(0, n, (n, degree // 2))
@@ -113,7 +122,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, al
         order = rng.permutation(n)
         for i in range(0, n, 512):
             p = order[i : i + 512]
-            found, _ = _beam(x, graph, start, x[p], width)
+            found, _ = _beam(x, graph, starts, x[p], max(width, len(starts)))
             graph[p] = _prune(x, p, np.concatenate([found, graph[p]], axis=1), degree, a)
             # Edges back: what does not fit into a neighbour's list is pruned with it.
             src, dst = np.repeat(p, degree), graph[p].reshape(-1)
@@ -126,7 +135,7 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, width: int = BUILD_BEAM, al
             for k in range(0, len(who), 512):
                 w = who[k : k + 512]
                 graph[w] = _prune(x, w, np.concatenate([graph[w], wide[k : k + 512]], axis=1), degree, a)
-    return graph[:n], start
+    return graph[:n], starts
 
 
 def build_index(vectors: DataFrame, k: int, id_column: str = "vec_id", column: str = "embedding", shard: int = SHARD) -> DataFrame:
@@ -141,11 +150,11 @@ def build_index(vectors: DataFrame, k: int, id_column: str = "vec_id", column: s
     def build(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))  # the same graph whatever the order of rows
         x = np.stack(part["embedding"].to_numpy()).astype(np.float32)
-        graph, start = build_graph(x)
-        return pd.DataFrame({"shard": part["shard"].to_numpy(), "node": np.arange(len(x)), "ids": part["ids"].to_numpy(), "vector": [v.tobytes() for v in np.stack(part["embedding"].to_numpy())], "edges": [e.astype(np.int32).tobytes() for e in graph], "start": start})
+        graph, starts = build_graph(x)
+        return pd.DataFrame({"shard": part["shard"].to_numpy(), "node": np.arange(len(x)), "ids": part["ids"].to_numpy(), "vector": [v.tobytes() for v in np.stack(part["embedding"].to_numpy())], "edges": [e.astype(np.int32).tobytes() for e in graph], "start": np.isin(np.arange(len(x)), starts)})
 
     dealt = copies.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
-    return cut(dealt.groupBy("shard").applyInPandas(build, "shard int, node int, ids array<long>, vector binary, edges binary, start int"))
+    return cut(dealt.groupBy("shard").applyInPandas(build, "shard int, node int, ids array<long>, vector binary, edges binary, start boolean"))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, shards: int, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -170,7 +179,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, shards: int, beam: int
         for i in range(0, len(asked), 256):
             part = asked.iloc[i : i + 256]
             y = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-            found, _ = _beam(x, graph, int(nodes["start"].iloc[0]), y.astype(np.float32), max(k + 1, min(beam, n)))
+            found, _ = _beam(x, graph, np.flatnonzero(nodes["start"].to_numpy()), y.astype(np.float32), max(k + 1, min(beam, n)))
             for own, row, point in zip(part["vec_id"], found, y, strict=True):
                 row = row[row < n]
                 d = np.sqrt(((whole[row] - point) ** 2).sum(1))
