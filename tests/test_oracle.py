@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,7 +14,7 @@ NAMES = ["graph_counts", "reverse_graph", "bfs", "multi_source_bfs", "dijkstra",
 
 
 def rows(frame):
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v.item() if hasattr(v, "item") else v
+    plain = lambda v: None if v is None or v is pd.NA or v != v else float(v) if isinstance(v, int | float) and not isinstance(v, bool) else v.item() if hasattr(v, "item") else v
     columns = sorted(frame.columns)
     return columns, sorted((tuple(plain(v) for v in r) for r in frame[columns].itertuples(index=False, name=None)), key=str)
 
