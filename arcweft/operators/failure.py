@@ -30,7 +30,7 @@ def probabilities(g: PropertyGraph, seeds: Seeds) -> DataFrame:
         new = ahead.join(use, ["seed", "src"]).groupBy("seed", F.col("dst").alias("src")).agg((1 - F.product(1 - F.col("use") * F.col("risk"))).alias("use"))
         start = order.where("seed = node").select("seed", F.col("node").alias("src"), F.lit(1.0).alias("use"))
         new = cut(new.union(start))
-        same = new.join(use.withColumnRenamed("use", "old"), ["seed", "src"], "left").where("old is null or abs(use - old) > 1e-15").isEmpty()
+        same = new.join(use.withColumnRenamed("use", "old"), ["seed", "src"], "left").where("old is null or abs(use - old) > 1e-12").isEmpty()
         use = new
         if same:
             break
