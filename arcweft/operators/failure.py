@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arcweft.functions.scalars import hourly_rate, severity_str
 from arcweft.model import PropertyGraph
 from arcweft.operators.traversal import Seeds, bfs
-from arcweft.plans.loops import cut
+from arcweft.plans.loops import PIECES, cut
 
 
 def probabilities(g: PropertyGraph, seeds: Seeds) -> DataFrame:
@@ -21,24 +21,41 @@ def probabilities(g: PropertyGraph, seeds: Seeds) -> DataFrame:
     risk = g.nodes.select(F.col("id").alias("dst"), (1 - F.col("health")).alias("risk"))
     e = g.edges.where("src <> dst").select("src", "dst").join(risk, "dst")
     a = order.select("seed", F.col("node").alias("src"), F.col("pos").alias("pu"), F.col("depth").alias("du"))
-    b = order.select("seed", F.col("node").alias("dst"), F.col("pos").alias("pv"))
-    steps = cut(a.join(e, "src").join(b, ["seed", "dst"]).where("dst <> seed").select("seed", "src", "dst", "risk", "pu", "pv"))
-    ahead = steps.where("pu < pv")
-    use = cut(order.select("seed", F.col("node").alias("src"), F.lit(1.0).alias("use")).where("seed = src"))
-    # What a node passes on is settled once that is so for all before it: repeat until nothing changes.
-    while True:
-        new = ahead.join(use, ["seed", "src"]).groupBy("seed", F.col("dst").alias("src")).agg((1 - F.product(1 - F.col("use") * F.col("risk"))).alias("use"))
-        start = order.where("seed = node").select("seed", F.col("node").alias("src"), F.lit(1.0).alias("use"))
-        new = cut(new.union(start))
-        same = new.join(use.withColumnRenamed("use", "old"), ["seed", "src"], "left").where("old is null or abs(use - old) > 1e-12").isEmpty()
-        use = new
-        if same:
-            break
-    got = steps.join(use, ["seed", "src"]).groupBy("seed", F.col("dst").alias("node")).agg((1 - F.product(1 - F.col("use") * F.col("risk"))).alias("p"))
+    b = order.select("seed", F.col("node").alias("dst"), F.col("pos").alias("pv"), F.col("depth").alias("dv"))
+    steps = cut(a.join(e, "src").join(b, ["seed", "dst"]).where("dst <> seed"))
+    # An edge ahead in breadth-first order leads to the same depth or to the next: settle depth by depth, so that each
+    # edge is used once but for those within a depth.
+    ahead = steps.where("pu < pv").select("seed", "src", "dst", "risk", "du", "dv")
+    within = {r["dv"] for r in ahead.where("du = dv").select("dv").distinct().collect()}
+    deepest = order.agg(F.max("depth")).first()[0] or 0
+    use = wave = order.where("seed = node").select("seed", F.col("node").alias("src"), F.lit(1.0).alias("use"))
+    for depth in range(1, deepest + 1):
+        wave = cut(_passed(ahead.where(f"du = {depth - 1} and dv = {depth}"), wave))
+        if depth in within:
+            wave = _settle(wave, ahead.where(f"du = {depth} and dv = {depth}"))
+        use = cut(use.union(wave)) if depth % PIECES == 0 else use.union(wave)
+    got = _passed(steps, use).select("seed", F.col("src").alias("node"), F.col("use").alias("p"))
     prob = F.when(F.col("seed") == F.col("node"), 1.0).otherwise(F.coalesce("p", F.lit(0.0)))
     return order.join(got, ["seed", "node"], "left").select("seed", "node", "depth", prob.alias("prob"))
 
 
+def _passed(steps: DataFrame, use: DataFrame) -> DataFrame:
+    """(seed, src, use): what the steps' ends get from use; src is a step's end."""
+    return steps.join(use, ["seed", "src"]).groupBy("seed", F.col("dst").alias("src")).agg((1 - F.product(1 - F.col("use") * F.col("risk"))).alias("use"))
+
+
+def _settle(base: DataFrame, inner: DataFrame) -> DataFrame:
+    """base (seed, src, use) with what comes along edges within one depth: rounds until nothing changes."""
+    use = base
+    while True:
+        more = _passed(inner, use).withColumnRenamed("use", "more")
+        new = cut(base.join(more, ["seed", "src"], "left").select("seed", "src", (1 - (1 - F.col("use")) * (1 - F.coalesce("more", F.lit(0.0)))).alias("use")))
+        moved = new.join(use.withColumnRenamed("use", "old"), ["seed", "src"]).where("abs(use - old) > 1e-12")
+        if moved.isEmpty():
+            return new
+        use = new
+
+
 def simulate_failure(g: PropertyGraph, seeds: Seeds, threshold: float = 0.1) -> DataFrame:
     """(seed, cascade_depth, total_impact_score, affected array): affected are other nodes with prob >= threshold."""
     return summary(cut(probabilities(g, seeds)), threshold)
