@@ -16,6 +16,8 @@ from arcweft.sources.tables import GRAPHS, graph
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+#: name -> (graph, function, body) of the queries on graphs, for use on a whole graph.
+PLANS: dict[str, tuple[str, Callable, str]] = {}
 SUPPLIERS = "(SELECT count(*) FROM supplier)"
 
 
@@ -25,17 +27,19 @@ def sql(name: str, body: str) -> str:
     return f"WITH RECURSIVE n AS ({nodes}), e AS ({edges}) {body}"
 
 
-def register(kind: str | None, body: str | None) -> Callable[[Callable], Callable]:
-    """Register a query on a graph (kind) under its function's name, with the SQL body of its oracle."""
+def register(kind: str | None, body: str | None, name: str | None = None) -> Callable[[Callable], Callable]:
+    """Register a query on a graph (kind) under its function's name or a given one, with the SQL body of its oracle."""
 
     def wrap(f: Callable) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(graph(spark, sf_dir, kind)) if kind else f(spark, sf_dir)
 
         run.__doc__ = f.__doc__
-        QUERIES[f.__name__] = run
+        own = name or f.__name__
+        QUERIES[own] = run
         if body is not None:
-            ORACLE[f.__name__] = sql(kind, body) if kind else body
+            ORACLE[own] = sql(kind, body) if kind else body
+            PLANS[own] = (kind, f, body)
         return f
 
     return wrap
@@ -553,3 +557,26 @@ def resilience_score(g):
     return paths.resilience_score(g, pairs(g, "0-24 1-20 3-9")).select("src", "dst", F.round("score", 9).alias("score"))
 
 
+
+
+# The queries on nations above keep two or three links of each.  These run the same functions and SQL on all links, or on
+# the layered graph.  Cycles and k cheapest paths are left out: their number grows exponentially with the links.
+WHOLE = (
+    "pagerank boruvka_mst kruskal_mst compute_critical_path dijkstra johnsons betweenness_centrality scc_labels floyd_warshall closeness_centrality "
+    "bellman_ford path_to find_bridges find_articulation_points greedy_coloring dsatur_coloring topological_wave_partition project_duration "
+    "critical_path_latency is_bipartite has_cycle_directed has_cycle_undirected can_reach dfs_toposort prim_mst tarjan_scc kosaraju_scc "
+    "condensation_edges condensation_nodes partition_by_scc bellman_ford_negative_cycle find_bridges_cyclic add_edge"
+).split()
+for _name in WHOLE:
+    _kind, _f, _body = PLANS[_name]
+    register("whole_" + _kind, _body, f"{_name}_whole")(_f)
+for _name in ("pagerank", "compute_critical_path"):
+    register("layer", PLANS[_name][2], f"{_name}_layer")(PLANS[_name][1])
+
+
+COMPONENTS = f", {UNDIRECTED}, r(seed, node) AS (SELECT id, id FROM n UNION SELECT r.seed, b.dst FROM r JOIN b ON r.node = b.src)"
+
+
+@register("layer", COMPONENTS + " SELECT seed AS node, min(node) AS component FROM r GROUP BY seed")
+def weakly_connected_components_layer(g):
+    return structure.weakly_connected_components(g)

@@ -32,20 +32,28 @@ SELECT CAST(n_nationkey AS INT) AS id, n_name AS name, CASE n_nationkey % 4 WHEN
 """
 
 
-def _nation_edges(condition: str, most: int) -> str:
+def _nation_edges(condition: str, most: int, whole: bool = False) -> str:
+    """Links to the largest partners, of which the last is a fallback; or to all, with fallbacks from that rank on."""
+    fallback, limit = (f"rk >= {most}", "") if whole else (f"rk = {most}", f" WHERE rk <= {most}")
     return f"""
-SELECT src, dst, CAST(rk - 1 AS INT) AS adj_idx, CAST(1 + (src * 7 + dst * 3) % 11 AS DOUBLE) AS weight, vol AS capacity, rk = {most} AS is_fallback FROM (
+SELECT src, dst, CAST(rk - 1 AS INT) AS adj_idx, CAST(1 + (src * 7 + dst * 3) % 11 AS DOUBLE) AS weight, vol AS capacity, {fallback} AS is_fallback FROM (
   SELECT src, dst, vol, row_number() OVER (PARTITION BY src ORDER BY vol DESC, dst) AS rk FROM (
     SELECT c_nationkey AS src, s_nationkey AS dst, sum(l_quantity) AS vol
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-    WHERE c_nationkey {condition} s_nationkey GROUP BY c_nationkey, s_nationkey) v) r WHERE rk <= {most}
+    WHERE c_nationkey {condition} s_nationkey GROUP BY c_nationkey, s_nationkey) v) r{limit}
 """
 
 
 TRADE_EDGES = _nation_edges("<>", 2)
 DAG_EDGES = _nation_edges("<", 3)
-#: name -> (nodes, edges): a layered DAG, a sparse cyclic graph and a sparse DAG.
-GRAPHS = {"layer": (LAYER_NODES, LAYER_EDGES), "trade": (NATION_NODES, TRADE_EDGES), "dag": (NATION_NODES, DAG_EDGES)}
+#: name -> (nodes, edges): a layered DAG, a sparse cyclic graph and a sparse DAG, and the last two with all their links.
+GRAPHS = {
+    "layer": (LAYER_NODES, LAYER_EDGES),
+    "trade": (NATION_NODES, TRADE_EDGES),
+    "dag": (NATION_NODES, DAG_EDGES),
+    "whole_trade": (NATION_NODES, _nation_edges("<>", 2, whole=True)),
+    "whole_dag": (NATION_NODES, _nation_edges("<", 3, whole=True)),
+}
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
