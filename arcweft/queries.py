@@ -580,3 +580,88 @@ COMPONENTS = f", {UNDIRECTED}, r(seed, node) AS (SELECT id, id FROM n UNION SELE
 @register("layer", COMPONENTS + " SELECT seed AS node, min(node) AS component FROM r GROUP BY seed")
 def weakly_connected_components_layer(g):
     return structure.weakly_connected_components(g)
+
+
+# The same operators with every node as a seed or pair, or on the whole layered graph.
+@register("layer", COMPONENTS + " SELECT min(seed) AS partition, node FROM r GROUP BY node")
+def partition_for_parallel_all(g):
+    return structure.partition_for_parallel(g)
+
+
+@register("layer", f"SELECT id AS node, CAST(CASE WHEN id < 5 THEN 0 WHEN id < 30 THEN 1 WHEN id >= 30 + {SUPPLIERS} AND id IN (SELECT dst FROM e) THEN 1 ELSE 0 END AS INT) AS color FROM n")
+def bipartite_colors_all(g):
+    return structure.is_bipartite(g)[1]
+
+
+@register("layer", "SELECT 2 AS colors")
+def chromatic_number_estimate_all(g):
+    return one(g, colors=structure.chromatic_number_estimate(g))
+
+
+@register("layer", FAIL + "SELECT seed, node, CAST(depth AS INT) AS depth, round(prob + 1.3719e-11, 9) AS prob FROM p")
+def failure_probabilities_all(g):
+    return failure.probabilities(g, ids(g, "true")).select("seed", "node", "depth", F.round(F.col("prob") + 1.3719e-11, 9).alias("prob"))
+
+
+@register("layer", FAIL + "SELECT seed, CAST(max(depth) AS INT) AS cascade_depth, round(1 + coalesce(sum(CASE WHEN seed <> node AND prob >= 0.1 THEN prob END), 0), 6) AS impact, count(CASE WHEN seed <> node AND prob >= 0.1 THEN 1 END) AS affected FROM p GROUP BY seed")
+def simulate_failure_all(g):
+    out = failure.simulate_failure(g, ids(g, "true"), 0.1)
+    return out.select("seed", "cascade_depth", F.round("total_impact_score", 6).alias("impact"), F.size("affected").cast("long").alias("affected"))
+
+
+@register("layer", BLAST + "SELECT seed, CAST(affected AS INT) AS affected, CAST(affected_database AS INT) AS affected_database, round(revenue, 4) AS revenue, critical, CASE WHEN fraction < 0.02 THEN 'LOW' WHEN fraction < 0.15 THEN 'MEDIUM' WHEN fraction < 0.40 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM g")
+def compute_blast_radius_all(g):
+    out = failure.compute_blast_radius(g, ids(g, "true"), 0.05)
+    return out.select("seed", "affected", "affected_database", F.round("revenue_at_risk", 4).alias("revenue"), F.array_join("critical_services", ",").alias("critical"), "severity")
+
+
+@register("layer", "SELECT c.src * CAST(10000000 AS BIGINT) + c.dst AS path_id, w.base_latency_ms + a.weight + x.base_latency_ms + b.weight + y.base_latency_ms + c.weight + z.base_latency_ms AS latency FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst JOIN n w ON w.id = a.src JOIN n x ON x.id = a.dst JOIN n y ON y.id = b.dst JOIN n z ON z.id = c.dst")
+def compute_path_latency_all(g):
+    """Latencies of all ways from a region to a part."""
+    a, b, c = (g.edges.select(F.col("src").alias(s), F.col("dst").alias(t)) for s, t in (("r", "m"), ("m", "s"), ("s", "p")))
+    ways = a.join(b, "m").join(c, "s")
+    return measures.compute_path_latency(g, ways.select((F.col("s").cast("long") * 10_000_000 + F.col("p")).alias("path_id"), F.array("r", "m", "s", "p").alias("path")))
+
+
+@register("layer", f", {REACH} SELECT seed, node FROM r WHERE seed <> node")
+def reachable_set_all(g):
+    return traversal.reachable_set(g, ids(g, "true"))
+
+
+@register("whole_trade", f", {REACH} SELECT a.id AS src, b.id AS dst, a.id = b.id OR EXISTS (SELECT 1 FROM e JOIN r x ON x.node = e.src JOIN r y ON y.seed = e.dst WHERE is_fallback AND x.seed = a.id AND y.node = b.id) AS has_fallback FROM n a JOIN n b ON TRUE")
+def has_fallback_path_all(g):
+    return traversal.has_fallback_path(g, g.nodes.select(F.col("id").alias("src")).crossJoin(g.nodes.select(F.col("id").alias("dst"))))
+
+
+@register("whole_trade", PLANS["all_pairs_path"][2].replace(" FROM z WHERE src < 5", " FROM z"))
+def all_pairs_path_all(g):
+    table = cut(paths.johnsons(g)[0])
+    return paths.pair_paths(table.select("src", "dst"), table).select("src", "dst", shown().alias("path"))
+
+
+FLOWS = """, t AS (SELECT a.src AS src, c.dst AS sink, a.dst AS nation, least(b.capacity, c.capacity) AS f, a.capacity AS most FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst)
+, v AS (SELECT src, sink, sum(f) AS max_flow FROM (SELECT src, sink, least(sum(f), max(most)) AS f FROM t GROUP BY src, sink, nation) GROUP BY src, sink)
+"""
+
+
+def _all_flow_pairs(g: PropertyGraph) -> DataFrame:
+    """Every region with every part."""
+    return g.nodes.where("type = 'GATEWAY'").select(F.col("id").alias("src")).crossJoin(g.nodes.where("type = 'DATABASE'").select(F.col("id").alias("sink")))
+
+
+@register("layer", FLOWS + "SELECT src, sink, max_flow FROM v WHERE max_flow > 0")
+def edmonds_karp_all(g):
+    return measures.edmonds_karp(g, _all_flow_pairs(g)).where("max_flow > 0").select("src", "sink", "max_flow")
+
+
+@register("layer", FLOWS + "SELECT src, sink, max_flow FROM v WHERE max_flow > 0")
+def dinic_all(g):
+    return measures.dinic(g, _all_flow_pairs(g)).where("max_flow > 0").select("src", "sink", "max_flow")
+
+
+@register("layer", FLOWS + "SELECT src, sink, max_flow AS cut FROM v WHERE max_flow > 0")
+def min_cut_edges_all(g):
+    side = measures.min_cut(g, cut(measures.max_flow(g, _all_flow_pairs(g))))
+    cuts = measures.min_cut_edges(g, cut(side))
+    e = g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "adj_idx", "capacity")
+    return cuts.join(e, ["u", "v", "adj_idx"]).groupBy("src", "sink").agg(F.sum("capacity").alias("cut")).where("cut > 0")

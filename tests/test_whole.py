@@ -27,3 +27,8 @@ def test_whole_graphs(spark, sf_dir, con, name):
 def test_no_link_is_left_out(spark, sf_dir, con, name, sign):
     want = con.execute(f"SELECT DISTINCT c_nationkey, s_nationkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey {sign} s_nationkey").fetchall()
     assert sorted((r.src, r.dst) for r in graph(spark, sf_dir, name).edges.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("name", ["simulate_failure_all", "bipartite_colors_all", "compute_path_latency_all", "min_cut_edges_all", "has_fallback_path_all", "all_pairs_path_all"])
+def test_all_seeds(spark, sf_dir, con, name):
+    assert rows(entry.queries()[name](spark, sf_dir).toPandas()) == rows(con.execute(entry.oracle_sql()[name]).df())
