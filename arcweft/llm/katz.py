@@ -31,6 +31,7 @@ null id comes back null; extra columns do no harm.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -39,6 +40,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +81,8 @@ def chunks(docs: DataFrame, held_out: Column, text_column: str, id_column: str)
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         total = 0
+        # Equal chunks are chunks of their own: a partition's number and a running number tell them apart.
+        key = itertools.count(TaskContext.get().partitionId() << 32)
 
         def flush() -> pa.RecordBatch:
             rows, out, lengths = (np.concatenate([h[k] for h in held]) for k in range(3))
@@ -98,7 +102,7 @@ def chunks(docs: DataFrame, held_out: Column, text_column: str, id_column: str)
             tokens = turned[tokens]
             train = np.repeat(out == 0, size)
             seen = np.bincount(tokens[train], minlength=len(every))
-            columns = [[xxhash.xxh64_intdigest(rows.tobytes()) >> 1], [pack(rows)], [pack(out.astype(np.uint8))], [pack(size)], [pack(gaps(every[order]))], [pack(seen)], [pack(tokens.astype(np.uint32))], [int(seen.sum())]]
+            columns = [[next(key)], [pack(rows)], [pack(out.astype(np.uint8))], [pack(size)], [pack(gaps(every[order]))], [pack(seen)], [pack(tokens.astype(np.uint32))], [int(seen.sum())]]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:7]), pa.array(columns[7], pa.int64())], names=NAMES)
 
         for batch in it:

@@ -187,3 +187,16 @@ def test_pipeline(spark, sf_dir):
         docs = spark.createDataFrame(stage(spark, docs, sf_dir).toPandas(), docs.schema)
         assert docs.columns == columns and {r.doc_id for r in docs.select("doc_id").collect()} <= before, name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count() > 0
+
+
+def test_katz_tells_equal_chunks_apart(spark):
+    texts = ["the cat sat on the mat", "a dog ran", "the cat ran on", "one two three"]
+    text = F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 4 + 1).cast("int")).alias("text")
+    same = spark.range(0, 8, 1, 2).select((F.col("id") % 4).alias("doc_id"), text)  # two partitions of the same rows
+    nulls = spark.range(0, 4, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), text)
+    for docs, all_texts in ((same, texts * 2), (nulls, texts)):
+        got = sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in katz.score(docs, F.lit(False)).collect())
+        want = sorted(brute.katz(all_texts, [False] * len(all_texts)))
+        assert len(got) == len(want)
+        for g, w in zip(got, want, strict=True):
+            assert g == pytest.approx(w)
