@@ -254,7 +254,7 @@ class Table:
     def counts_of_counts(self, most: int) -> np.ndarray:
         return np.bincount(np.minimum(self.n, most + 1), minlength=most + 2)[1 : most + 1]
 
-    def weigh(self, discount: np.ndarray, tokens: int, distinct: int) -> None:
+    def weigh(self, discount: np.ndarray, tokens: int, distinct: int, leave_mass: bool = False) -> None:
         """Probabilities of seen bigrams and backoff weights of histories."""
         self.history, first = np.unique(self.h, return_index=True)
         many = np.diff(np.append(first, len(self.h)))
@@ -262,7 +262,13 @@ class Table:
         self.p = discount[np.minimum(self.n, len(discount) - 1)] * self.n / np.repeat(total, many)
         lower = (self.c + 1.0) / (tokens + distinct + 1.0)
         if len(first):
-            self.weight = (1 - np.add.reduceat(self.p, first)) / (1 - np.add.reduceat(lower, first))
+            free = 1 - np.add.reduceat(self.p, first)
+            if leave_mass:
+                bare = np.minimum.reduceat(self.n, first) >= len(discount) - 1
+                over = np.repeat(bare, many)
+                self.p[over] = (self.n[over] - 0.5) / np.repeat(total, many)[over]
+                free[bare] = many[bare] / (2.0 * total[bare])
+            self.weight = free / (1 - np.add.reduceat(lower, first))
         else:
             self.weight = np.zeros(0)
 
@@ -288,7 +294,7 @@ def discounts(n: np.ndarray) -> np.ndarray:
     """Good-Turing ratios d[r] for counts r up to MOST_DISCOUNTED, then 1; n[r - 1] is how many bigrams have count r.
 
     d = (r*/r - x) / (1 - x) with r* = (r + 1) n[r + 1] / n[r] and x = (k + 1) n[k + 1] / n[1].  Where few counts make
-    a ratio leave (0, 1), or the table has no bigram of some count, (r - 1/2) / r stands in, so that mass is always left.
+    a ratio leave (0, 1), or the table has no bigram of some count, (r - 1/2) / r stands in, so that mass is left.
     """
     k = MOST_DISCOUNTED
     out = np.ones(k + 2)
@@ -299,8 +305,12 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, held_out: Column, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
+def score(docs: DataFrame, held_out: Column, text_column: str = "text", id_column: str = "doc_id", leave_mass: bool = False) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
+
+    leave_mass: histories whose counts are all above MOST_DISCOUNTED give half a count of each bigram to unseen words.
+    Without it they keep none, and each unseen word after them costs about 300.
+    """
     configure(docs.sparkSession)
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
@@ -338,7 +348,7 @@ def score(docs: DataFrame, held_out: Column, text_column: str = "text", id_colum
             of = dict(rows[0]["of"] or [])
             if p >= 0:
                 table = Table(rows)
-                table.weigh(discounts(np.array([of.get(r, 0) for r in range(1, MOST_DISCOUNTED + 2)])), tokens, distinct)
+                table.weigh(discounts(np.array([of.get(r, 0) for r in range(1, MOST_DISCOUNTED + 2)])), tokens, distinct, leave_mass)
             for r in rows:
                 if p < 0:  # what the chunk itself said of its documents
                     blobs = [r["a"], r["b"], r["c"], r["d"], r["e"]]

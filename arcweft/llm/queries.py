@@ -38,7 +38,7 @@ def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.score(load(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 7) == 2)
+    return katz.score(load(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 7) == 2, leave_mass=True)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,3 +200,13 @@ def test_katz_tells_equal_chunks_apart(spark):
         assert len(got) == len(want)
         for g, w in zip(got, want, strict=True):
             assert g == pytest.approx(w)
+
+
+def test_lm_scoring_of_a_history_with_one_frequent_follower(spark, tmp_path):
+    from arcweft.llm.queries import op5_lm_scoring
+
+    out = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(1000 + i, "alpha beta") for i in range(60)] + [(out, "alpha gamma")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in op5_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[out] > -20
