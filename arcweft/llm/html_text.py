@@ -24,7 +24,7 @@ from arcweft.llm.common import batches, configure, strings
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?<![\w-])(hidden)(?![\w=-])", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
@@ -48,37 +48,73 @@ AWAY = {
     "sponsored", "subscribe", "tags", "toolbar", "widget", "disclaimer", "alert", "complementary", "discussion", "legal", "copyright", "toc",
 }
 TOWARDS = {"article", "body", "content", "entry", "main", "page", "post", "story", "text"}
+#: Characters outside links from which a text is not small.
+SMALL = 250
 WEIGHT = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 2.0, "body": 0.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
 
 
 class Node:
-    __slots__ = ("children", "furniture", "links", "marks", "name", "parent", "score", "size")
+    __slots__ = ("children", "furniture", "links", "marks", "name", "parent", "score", "size", "worded")
 
     def __init__(self, name: str, parent: Node | None, marks: int = 0, furniture: bool = False):
         self.name, self.parent, self.marks, self.furniture = name, parent, marks, furniture
         self.children: list[Node | str] = []
         self.score, self.size, self.links = 0.0, 0, 0
-
-
-def _marks(attributes: str, name: str) -> tuple[int, bool]:
-    """Whether class and id speak for the article (1), and whether they mark furniture."""
-    good, away = 0, False
-    for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if hidden:
-            away = True
-        elif key.lower() == "style":
-            away = away or bool(_HIDDEN.search(value))
-        else:
+        self.worded = False
+
+
+def _marks(attributes: str) -> tuple[int, bool, bool]:
+    """Whether class and id speak for the article (1), whether their words mark furniture, and whether it is hidden."""
+    good, away, hidden = 0, False, False
+    for key, a, b, c in _ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), a or b or c
+        if key == "hidden":
+            hidden = True
+        elif key == "style":
+            hidden = hidden or bool(_HIDDEN.search(value))
+        elif key in ("class", "id", "role"):
             parts = {x.lower() for x in _PART.findall(value)}
             away = away or bool(parts & AWAY)
             good = good or int(bool(parts & TOWARDS))
-    return good, away and name not in ("html", "body", "article", "main")
+    return good, away, hidden
+
+
+def _release(root: Node) -> None:
+    """Take the mark from elements that only words call furniture, where they hold the article.
+
+    That is the largest article or main without such words; where there is none of size, most of the page's text outside
+    links, if that is not small or is all there is.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.furniture and not node.worded:
+            continue
+        order.append(node)
+        stack += [x for x in node.children if not isinstance(x, str)]
+    amount: dict[int, int] = {}
+    for node in reversed(order):
+        n = sum(len(x.strip()) if isinstance(x, str) else amount.get(id(x), 0) for x in node.children)
+        amount[id(node)] = 0 if node.name == "a" else n
+    articles = [x for x in order if x.name in ("article", "main") and not x.worded]
+    up = largest = max(articles, key=lambda x: amount[id(x)], default=None)
+    found = amount[id(largest)] if largest else 0
+    while up and found:
+        if up.worded:
+            up.furniture = False
+        up = up.parent
+    total = amount[id(root)]
+    if found < SMALL:
+        for node in order:
+            n = amount[id(node)]
+            if node.worded and 2 * n > total and (n >= SMALL or n == total):
+                node.furniture = False
 
 
 def parse(page: str) -> Node:
     """The element tree; unclosed and stray tags are handled the way browsers do for common cases."""
     at = root = Node("html", None)
+    worded = False
     position, n = 0, len(page)
     while position < n:
         found = _TOKEN.search(page, position)
@@ -123,14 +159,19 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
         attributes = found[3] or found[6] or ""
-        good, away = _marks(attributes, name) if attributes and attributes != "/" else (0, False)
-        node = Node(name, at, good, away or name in FURNITURE)
+        good, away, hidden = _marks(attributes) if attributes and attributes != "/" else (0, False, False)
+        inner = name in ("article", "main")
+        node = Node(name, at, good, name in FURNITURE or (away or hidden) and not inner)
+        node.worded = away and not hidden and name not in FURNITURE
+        worded = worded or node.worded
         at.children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(page, position)
             position = end.end()
         elif not attributes.endswith("/"):
             at = node
+    if worded:
+        _release(root)
     return root
 
 

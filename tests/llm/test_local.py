@@ -149,3 +149,21 @@ def test_katz_histories_of_frequent_bigrams_leave_mass():
     for h in (1, 2, 9):
         p = 10 ** table.log10(np.full(4, h), np.arange(4), np.array([30, 5, 1, 0]), 36, 3)
         assert p.sum() == pytest.approx(1) and p.min() > 1e-4
+
+
+LONG = "A long paragraph, which tells, at some length, what the page is about. " * 6
+
+
+@pytest.mark.parametrize(
+    ("page", "kept", "lost"),
+    [
+        (f"<div class='content-sidebar-wrap'><article><p>{LONG}</p></article><div class='sidebar'><p>Aside, here</p></div></div>", LONG, "Aside"),
+        (f"<div class='has-sidebar'><div class='no-comments'><p>{LONG}</p></div></div><div id='comments'><p>Nice, post</p></div>", LONG, "Nice"),
+        (f"<article><p>{LONG}</p></article><div id='comments'><article class='comment'><p>{'Nice, post. ' * 90}</p></article></div>", LONG, "Nice"),
+        (f"<article><p>{LONG}</p></article><div class='related'><article><p>Teaser, one</p></article></div>", LONG, "Teaser"),
+        ("<p>See <a href='/hidden/place'>the place</a>, now</p><p title='a hidden gem'>A gem, too</p><p hidden>Secret</p>", "See the place, now A gem, too", "Secret"),
+    ],
+)
+def test_marks_do_not_take_the_article(page, kept, lost):
+    text = html_text.main_text(page)
+    assert kept.strip() in text and lost not in text
