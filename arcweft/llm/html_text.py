@@ -1,8 +1,9 @@
 """Main text of web pages by tree scoring.
 
 A small tolerant parser builds the element tree.  Paragraph-like elements pass points (one, plus one a comma, plus
-length) to their ancestors, halved at each level up and discounted by the share of text inside links.  The best
-container and those siblings that score alike are kept; page furniture inside them is dropped.
+length) to their ancestors, halved at each level up and discounted by the share of text inside links.  The article or
+main around the best container is kept, or without one the container and its siblings; page furniture and, among
+siblings, lists of links are dropped.
 
 Defined cases: null or empty html gives an empty text; a page without a container gives the text of its body
 without furniture; repeated pages are handled row by row; extra columns are passed on.
@@ -48,6 +49,8 @@ AWAY = {
     "sponsored", "subscribe", "tags", "toolbar", "widget", "disclaimer", "alert", "complementary", "discussion", "legal", "copyright", "toc",
 }
 TOWARDS = {"article", "body", "content", "entry", "main", "page", "post", "story", "text"}
+#: From this share of text in links on an element is a list of links.
+LINKED = 0.25
 #: Characters outside links from which a text is not small.
 SMALL = 250
 WEIGHT = {"article": 25.0, "main": 15.0, "section": 3.0, "div": 2.0, "body": 0.0, "td": 1.0, "ul": -3.0, "ol": -3.0, "dl": -3.0}
@@ -213,8 +216,11 @@ def _density(node: Node) -> float:
     return node.links / node.size if node.size else 0.0
 
 
-def best(root: Node) -> list[Node]:
-    """The container with most points and its siblings that belong to it, in page order."""
+def best(root: Node) -> list[Node | str]:
+    """The article or main around the container with most points, or without one the container and its siblings, in page order.
+
+    Siblings made of links and furniture are left out.
+    """
     scored: dict[int, Node] = {}
     for node in _measure(root):
         direct = node.name in ("div", "section", "article", "main", "body") and any(isinstance(x, str) and x.strip() for x in node.children)
@@ -238,17 +244,20 @@ def best(root: Node) -> list[Node]:
     top = max(scored.values(), key=lambda x: (x.score, x.size))
     if not top.parent:
         return [top]
-    least, kept = max(10.0, 0.2 * top.score), []
-    for x in top.parent.children:
-        if isinstance(x, str) or x.furniture:
-            continue
-        text = _own_text(x).strip() if x.name == "p" else ""
-        if x is top or x.score >= least and x.name == top.name or len(text) > 80 and _density(x) < 0.25:
-            kept.append(x)
-    return kept
+    # One long section may outscore the article around it.
+    up = top
+    while up and not (up.name == "article" and _density(up) < LINKED):
+        up = up.parent
+    if not up:
+        up = top
+        while up and not (up.name == "main" and _density(up) < LINKED):
+            up = up.parent
+    if up:
+        return [up]
+    return [x for x in top.parent.children if x is top or isinstance(x, str) or not x.furniture and _density(x) < LINKED]
 
 
-def text_of(nodes: list[Node]) -> str:
+def text_of(nodes: list[Node | str]) -> str:
     """Blocks in page order: character references decoded, white space as one space, joined by one space."""
     blocks: list[str] = []
     now: list[str] = []

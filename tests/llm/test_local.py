@@ -167,3 +167,10 @@ LONG = "A long paragraph, which tells, at some length, what the page is about. "
 def test_marks_do_not_take_the_article(page, kept, lost):
     text = html_text.main_text(page)
     assert kept.strip() in text and lost not in text
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_short_parts_beside_a_long_one_stay(outer):
+    parts = f"<section><p>Intro here.</p></section><h2>Head</h2><section>{f'<p>{LONG}</p>' * 6}</section><ul><li>Item</li></ul><p>Short.</p><section><p>The end.</p></section>"
+    page = f"<body><nav><a href=x>Home</a></nav><{outer}>{parts}</{outer}><div><a href=y>More links to follow</a></div></body>"
+    assert html_text.main_text(page) == f"Intro here. Head {' '.join([LONG.strip()] * 6)} Item Short. The end."
