@@ -146,16 +146,17 @@ def fingerprint_texts(texts: pa.Array) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(id, fp) of every row."""
+    """(doc_id, fp, print) of every row; print is a 64-bit hash of the text, which tells rows of one id apart."""
     configure(docs.sparkSession)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a, b in batches(batch, "text"):
-                fp = fingerprint_texts(batch.column("text").slice(a, b - a))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(fp)], names=["doc_id", "fp"])
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprint_texts(part.column("text"))), part.column("print")], names=["doc_id", "fp", "print"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_column).cast("string")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print")).mapInArrow(run, "doc_id long, fp long, print long")
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -194,17 +195,33 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.mapInArrow(trees, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable by links."""
-    marked = cut(fingerprints(docs, text_column, id_column))
+def _rooted(marked: DataFrame) -> DataFrame:
+    """(fp, first, component) of every fingerprint: its smallest id, and the fingerprint that stands for its component."""
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     component = linked_components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "component")
-    rooted = distinct.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    return distinct.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
+def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable by links."""
+    marked = cut(fingerprints(docs, text_column, id_column).select("doc_id", "fp"))
+    rooted = _rooted(marked)
     least = rooted.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("component_id"))
     return marked.join(rooted.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """One row of each group of near copies: that of the smallest id.  Rows with a null id are not kept."""
-    kept = near_duplicates(docs, text_column, id_column).where("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
+def deduplicate(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", by_row: bool = False) -> DataFrame:
+    """One row of each group of near copies: that of the smallest id.  Rows with a null id are not kept.
+
+    by_row: rows are told apart by id and text, so that each group keeps one row whatever the ids; null ids come last.
+    """
+    if not by_row:
+        kept = near_duplicates(docs, text_column, id_column).where("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
+        return docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
+    marked = cut(fingerprints(docs, text_column, id_column))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    kept = marked.join(_rooted(marked).select("fp", "component"), "fp").groupBy("component").agg(F.min(key).alias("k"))
+    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.print").alias("__kept"))
+    rows = docs.withColumn("__print", F.xxhash64(F.col(text_column).cast("string")))
+    rows = rows.join(kept, (F.col("__print") == F.col("__kept")) & F.col(id_column).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    return rows.dropDuplicates([id_column, "__print"]).drop("__print")

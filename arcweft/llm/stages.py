@@ -29,18 +29,20 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of least id stays."""
-    return simhash.deduplicate(docs).select(*COLUMNS)
+    """Of each group of near copies the document of least id stays, whatever ids other groups have."""
+    return simhash.deduplicate(docs, by_row=True).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document comes as often as the mix takes its words.
 
-    The whole number of times, and once more with the probability of the rest, by a repeatable draw from the id.
+    The whole number of times, and once more with the probability of the rest, by a repeatable draw from the
+    id and text, by which rows are told apart.
     """
-    taken = mix.mix_documents(docs).select(F.col("doc_id").alias("__id"), (F.col("taken") / F.greatest("size", F.lit(1))).alias("__share"))
-    times = F.floor(F.col("__share") + spread("doc_id", seed=11)).cast("int")
-    return docs.join(taken.where("__share > 0"), F.col("doc_id") == F.col("__id")).withColumn("__times", times).where("__times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "__times")).alias("__n")).select(*COLUMNS)
+    docs = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    taken = mix.mix_documents(docs, id_column="__row").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.greatest("size", F.lit(1))).alias("__share"))
+    times = F.floor(F.col("__share") + spread("__row", seed=11)).cast("int")
+    return docs.join(taken.where("__share > 0"), F.col("__row") == F.col("__id")).withColumn("__times", times).where("__times > 0").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "__times")).alias("__n")).select(*COLUMNS)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

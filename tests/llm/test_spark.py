@@ -210,3 +210,15 @@ def test_lm_scoring_of_a_history_with_one_frequent_follower(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.score for r in op5_lm_scoring(spark, str(tmp_path)).collect()}
     assert got[out] > -20
+
+
+def test_pipeline_keeps_clean_rows_without_own_ids(spark):
+    from arcweft.llm import stages
+
+    texts = ["the cat sat on the mat today", "a dog ran over the hill", "one two three four five six", "other words stand in this row", "last of all the texts here"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[3]), (9, texts[4]), (9, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = stages.near_dedup(spark, docs, "")
+    assert sorted(r.text for r in kept.collect()) == sorted(texts)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["7", "7", "9", "None", "None"]
+    assert {r.text for r in stages.mixing(spark, kept, "").collect()} == set(texts)
