@@ -139,18 +139,6 @@ def test_words_split_on_ascii_white_space_only():
     assert re.findall(r"[^\x20\x09-\x0D]+", brute.lowered(" A\x0bb\xa0C ")) == values.to_pylist()
 
 
-def test_katz_histories_of_frequent_bigrams_leave_mass():
-    from arcweft.llm import katz
-
-    table = katz.Table([])
-    # History 1: word 0 seen 10 times; history 2: words 0 and 1 seen 7 and 2 times.  Unigram counts 30, 5 and 1, and an unknown word.
-    table.h, table.w, table.n, table.c = (np.array(x, np.int64) for x in ([1, 2, 2], [0, 0, 1], [10, 7, 2], [30, 30, 5]))
-    table.weigh(katz.discounts(np.array([4, 1, 0, 0, 0, 0])), 36, 3, leave_mass=True)
-    for h in (1, 2, 9):
-        p = 10 ** table.log10(np.full(4, h), np.arange(4), np.array([30, 5, 1, 0]), 36, 3)
-        assert p.sum() == pytest.approx(1) and p.min() > 1e-4
-
-
 LONG = "A long paragraph, which tells, at some length, what the page is about. " * 6
 
 

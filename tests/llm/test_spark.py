@@ -34,14 +34,16 @@ def docs(spark, sf_dir):
     return load(spark, sf_dir, "documents")
 
 
-def test_katz_equals_brute_force(docs, odd, monkeypatch):
-    monkeypatch.setattr(katz, "CHUNK", 3000)
+@pytest.mark.parametrize(("order", "hot"), [(2, 200), (3, 50)])
+def test_katz_equals_brute_force(docs, odd, monkeypatch, order, hot):
+    monkeypatch.setattr(katz, "CHUNK", 15_000)
     monkeypatch.setattr(katz, "PER_PARTITION", 20_000)
+    monkeypatch.setattr(katz, "HOT", hot)  # histories above it are dealt over several partitions
     both = docs.select("doc_id", "text").union(odd.where("doc_id is null or doc_id < 6").select(F.col("doc_id") + 10_000, "text").distinct())
     rows = both.collect()
     held = [r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 7 == 2 for r in rows]
-    want = dict(zip([r.doc_id for r in rows], brute.katz([r.text for r in rows], held), strict=True))
-    got = katz.score(both, remainder("doc_id", 7) == 2).collect()
+    want = dict(zip([r.doc_id for r in rows], brute.katz([r.text for r in rows], held, order), strict=True))
+    got = katz.score(both, remainder("doc_id", 7) == 2, order=order).collect()
     assert len(got) == len(rows)
     for r in got:
         w = want[r.doc_id]
@@ -49,6 +51,23 @@ def test_katz_equals_brute_force(docs, odd, monkeypatch):
         assert r.base_score == pytest.approx(w[3]) and r.score == pytest.approx(w[4])
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_distributions_sum_to_one(spark, order):
+    """Over the vocabulary and one unknown word, after histories of frequent, rare and no followers."""
+    texts = ["a b"] * 9 + ["a b c", "b c d a b", "d d d", "e", ""]
+    model = brute.Katz(texts, [False] * len(texts), order)
+    words = [*model.uni, "unknown"]
+    for first in ("a", "b", "d", "e", "unknown"):
+        history = ("",) * (order - 2) + (first,)
+        assert sum(model.p(w, history) for w in words) == pytest.approx(1)
+    asked = [f"{h} {w}" for h in ("a", "b", "d", "e", "unknown") for w in words if w]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts + asked)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in katz.score(docs, F.col("doc_id") >= len(texts), order=order).collect()}
+    want = brute.katz(texts + asked, [False] * len(texts) + [True] * len(asked), order)
+    assert [got[i] for i in range(len(want))] == pytest.approx([w[4] for w in want])
+    assert min(got.values()) > -30
+
+
 def test_simhash_equals_brute_force(docs):
     rows = docs.select("doc_id", "text").collect()
     fp = {r.doc_id: fingerprint(r.text) for r in rows}
