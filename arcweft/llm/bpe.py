@@ -6,7 +6,9 @@ have come before the merges that made the two tokens.  That check is done for al
 numpy.  Only words with a failing pair (or a character outside the vocabulary's base) go through exact merging.
 
 Defined cases: null and empty texts have no tokens, and decode to an empty text; strings of the added tokens inside a
-text become those tokens, as in the library; very long texts are handled word by word; extra columns pass on.
+text become those tokens, as in the library; very long texts are handled word by word, and very long words are merged
+by a heap; repeated rows are encoded row by row; extra columns pass on, but for those named like the operator's own in
+any case of letters, which are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import json
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweft.llm.common import batches, configure, strings
+from arcweft.llm.common import batches, kept_columns, strings, tidy
 
-#: Words that a worker remembers.
-REMEMBERED = 500_000
+#: Words and their tokens that a worker remembers, about.
+REMEMBERED, TOKENS = 200_000, 1_500_000
+#: Symbols up to which a word's pairs are searched one after another for the least rank.
+SHORT = 32
 SUFFIX_BITS = 20
 #: Stands for the word end in spelt words, so that no part of its spelling is matched by itself.
 END = "\ue000"
@@ -101,9 +106,13 @@ class WordBPE:
 
     def merged(self, spelt: str) -> list[int]:
         """Exact merging of a spelt word or token: the merge of least rank, leftmost first, until none is left."""
-        base, rank = self.base, self.rank
+        base = self.base
         parts = [base[c] for c in spelt[:-2]]
         parts += [base[spelt[-2:]]] if spelt.endswith(END) else [base[c] for c in spelt[-2:]]
+        return self._merge_short(parts) if len(parts) <= SHORT else self._merge_long(parts)
+
+    def _merge_short(self, parts: list[int]) -> list[int]:
+        rank = self.rank
         ranks = [rank.get(p, NO_MERGE)[0] for p in zip(parts, parts[1:])]
         while ranks:
             least = min(ranks)
@@ -119,6 +128,30 @@ class WordBPE:
                 ranks[i] = rank.get((made, parts[i + 1]), NO_MERGE)[0]
         return parts
 
+    def _merge_long(self, parts: list[int]) -> list[int]:
+        """The same by a heap over linked symbols: n log n for words of any length."""
+        rank, n = self.rank, len(parts)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (found := rank.get((a, b)))]
+        heapify(heap)
+        while heap:
+            _, i, a, b = heappop(heap)
+            j = right[i]
+            # A symbol that has been merged away is -1, and an entry counts only while both its symbols stand.
+            if parts[i] != a or j == n or parts[j] != b:
+                continue
+            made = rank[a, b][1]
+            parts[i], parts[j] = made, -1
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+                if found := rank.get((made, parts[k])):
+                    heappush(heap, (found[0], i, made, parts[k]))
+            h = left[i]
+            if h >= 0 and (found := rank.get((parts[h], made))):
+                heappush(heap, (found[0], h, parts[h], made))
+        return [p for p in parts if p >= 0]
+
     def speculate(self, spelt: str) -> list[int] | None:
         """Greedy longest match; None if some part has no token."""
         out, i, n, proposed, reach = [], 0, len(spelt), self.proposed, self.reach
@@ -167,8 +200,8 @@ class WordBPE:
 
     def learn(self, words: list[str]) -> None:
         """Encode words that are not yet known."""
-        if len(self.index) > REMEMBERED:
-            self.index, self.flat, self.shown, self.start = {}, array("i"), [], array("q", [0])
+        if len(self.index) > REMEMBERED or len(self.flat) > TOKENS:
+            self.forget()
         new = [w for w in words if w not in self.index]
         if not new:
             return
@@ -190,6 +223,9 @@ class WordBPE:
             self.shown.append(" ".join([self.text_of[i] for i in ids]))
         self.table = None
 
+    def forget(self) -> None:
+        self.index, self.flat, self.shown, self.start, self.table = {}, array("i"), [], array("q", [0]), None
+
     def normal(self, text: str) -> str:
         if text.isascii():
             return text.lower()
@@ -198,7 +234,7 @@ class WordBPE:
 
     def split(self, text: str) -> list[str]:
         """Words of a text in order; an added token stands as itself, marked by a leading NUL."""
-        if self.special and "<|" in text:
+        if self.special and any(x in text for x in self.added):
             out = []
             for k, part in enumerate(self.special.split(text)):
                 out += ["\0" + part] if k % 2 else self.words.findall(self.normal(part))
@@ -245,11 +281,11 @@ def model(path: str) -> WordBPE:
 
 
 def _run(docs: DataFrame, path: str, text_column: str, fields: list[T.StructField], make) -> DataFrame:
-    configure(docs.sparkSession)
     own = [f.name for f in fields]
-    kept = [c for c in docs.columns if c not in (text_column, *own)]
+    kept = kept_columns(docs, text_column, *own)
     schema = T.StructType([docs.schema[c] for c in kept] + fields)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = model(path)
         for batch in it:
@@ -261,18 +297,37 @@ def _run(docs: DataFrame, path: str, text_column: str, fields: list[T.StructFiel
     return docs.select(*kept, F.col(text_column).cast("string").alias(text_column)).mapInArrow(run, schema)
 
 
+def sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def encode_documents(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
     """docs with ids (array of int) and decoded (text) instead of the text.  No shuffle."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.StringType(), False)]
-    return _run(docs, path, text_column, fields, lambda x: [pa.array([i.astype(np.int32) for i, _ in x], pa.list_(pa.int32())), pa.array([s for _, s in x], pa.string())])
+    return _run(docs, path, text_column, fields, lambda x: [_ids(x), pa.array([s for _, s in x], pa.string())])
+
+
+def token_documents(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
+    """docs with n_tokens, ids (array of int) and the SHA-256 of what they decode to instead of the text.  No shuffle."""
+    fields = [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded_sha256", T.StringType(), False)]
+    return _run(docs, path, text_column, fields, lambda x: [_lengths(x), _ids(x), _decoded(x)])
 
 
 def digest_documents(docs: DataFrame, path: str, text_column: str = "text") -> DataFrame:
     """docs with n_tokens and the SHA-256 of ids and decoded text instead of the text.  No shuffle."""
     fields = [T.StructField("n_tokens", T.LongType(), False), T.StructField("ids_sha256", T.StringType(), False), T.StructField("decoded_sha256", T.StringType(), False)]
+    return _run(docs, path, text_column, fields, lambda x: [_lengths(x), pa.array([sha256(i.tobytes()) for i, _ in x]), _decoded(x)])
+
+
+def _lengths(x: list[tuple[np.ndarray, str]]) -> pa.Array:
+    return pa.array([len(i) for i, _ in x], pa.int64())
+
+
+def _ids(x: list[tuple[np.ndarray, str]]) -> pa.Array:
+    ends = np.cumsum([0] + [len(i) for i, _ in x]).astype(np.int32)
+    flat = np.concatenate([i for i, _ in x]).astype(np.int32) if x else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
-    def make(x: list[tuple[np.ndarray, str]]) -> list[pa.Array]:
-        sha = lambda b: hashlib.sha256(b).hexdigest()
-        return [pa.array([len(i) for i, _ in x], pa.int64()), pa.array([sha(i.tobytes()) for i, _ in x]), pa.array([sha(s.encode("utf-8", "surrogatepass")) for _, s in x])]
 
-    return _run(docs, path, text_column, fields, make)
+def _decoded(x: list[tuple[np.ndarray, str]]) -> pa.Array:
+    return pa.array([sha256(s.encode("utf-8", "surrogatepass")) for _, s in x])
