@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-from collections.abc import Iterator
+import ctypes
+import gc
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -11,21 +15,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; bounds a Python worker's memory when texts are long.
-ARROW_ROWS = 1000
+from arcweft.plans.loops import ensure_checkpoint_dir
 
-
-def configure(spark: SparkSession) -> None:
-    """Bound Arrow batches for the Python stages of this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set an own folder only where it is unset (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcweft-ckpt-"))
+#: Bytes of text that a Python worker handles at once, about.  Spark bounds its batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
+RUN_BYTES = 2_000_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,6 +27,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table of its own in the shared checkpoint folder: columns are stored and read one by one."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def kept_columns(df: DataFrame, *own: str) -> list[str]:
+    """Columns that pass on beside an operator's own, whose names theirs would clash with in any case of letters."""
+    taken = {x.lower() for x in own}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def free(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def tidy(run: Callable) -> Callable:
+    """run, a function from batches to batches, which afterwards gives freed memory back: Python workers live on."""
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Return freed memory to the machine, where its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo."""
     return F.crc32(F.col(column).cast("string")) % modulus
@@ -56,7 +93,7 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     return before[ends], flat.filter(full)
 
 
-def batches(table: pa.RecordBatch, column: str, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def batches(table: pa.RecordBatch, column: str, most_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch whose texts have about most_bytes together (a longer text stands alone)."""
     sizes = pc.fill_null(pc.binary_length(table.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0

@@ -6,7 +6,8 @@ main around the best container is kept, or without one the container and its sib
 siblings, lists of links are dropped.
 
 Defined cases: null or empty html gives an empty text; a page without a container gives the text of its body
-without furniture; repeated pages are handled row by row; extra columns are passed on.
+without furniture; repeated pages are handled row by row; extra columns are passed on, but for those named like the
+operator's own in any case of letters, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweft.llm.common import batches, configure, strings
+from arcweft.llm.common import batches, kept_columns, strings, tidy
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?][^>]*>", re.S
@@ -291,10 +292,10 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_column: str = "html") -> DataFrame:
     """pages with text and n_chars instead of the html; own columns of those names are replaced.  No shuffle."""
-    configure(pages.sparkSession)
-    kept = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
+    kept = kept_columns(pages, html_column, "text", "n_chars")
     schema = T.StructType([pages.schema[c] for c in kept] + [T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a, b in batches(batch, html_column):

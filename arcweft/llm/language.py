@@ -6,10 +6,11 @@ trigrams; a language's prototype bundles the texts of that language.  A document
 the greatest cosine with the document's vector.
 
 Letters are lower-cased; every run of other characters counts as one blank.  The fit reads a bounded sample of the
-labelled texts (fit_rows, drawn by a hash of the id); prediction reads every whole text.
+labelled texts (about fit_rows, drawn row by row by a hash of id and place); prediction reads every whole text.
 
 Defined cases: a null text or one without a letter gives `und` with score 0; ties go to the language of least name;
-with no labelled text at all every document is `und`; repeated rows are treated alike; extra columns pass on.
+with no labelled text at all every document is `und`; repeated rows are treated alike; extra columns pass on, but for
+those named like the operator's own in any case of letters, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweft.llm.common import batches, configure, strings
+from arcweft.llm.common import batches, free, kept_columns, strings, tidy
 
 DIMENSIONS, SEED, BLANK = 1024, 20, 32
 #: Most rows of the fit's sample, about.
@@ -43,28 +44,32 @@ def letter_vector(code: int) -> np.ndarray:
     return np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS, dtype=np.int8) * 2 - 1
 
 
-def bundle(texts: list[str], most_cells: int = 2_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def bundle(texts: list[str], most_cells: int = 1_000_000, width: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of texts: the first's index, their vectors (float32 rows), and whether each has a letter."""
     lowered = [" " + t.lower() + " " for t in texts]
     lengths = np.array([len(t) for t in lowered], np.int64)
     codes = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
+    del lowered
     letter = letter_table()[codes]
-    symbols = np.where(letter, codes, BLANK)
-    owner = np.repeat(np.arange(len(texts)), lengths)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     lettered = np.bincount(owner[letter], minlength=len(texts)) > 0
+    symbols = np.where(letter, codes, np.uint32(BLANK))
     keep = np.ones(len(symbols), bool)
     keep[1:] = (symbols[1:] != BLANK) | (symbols[:-1] != BLANK) | (owner[1:] != owner[:-1])
     symbols, owner = symbols[keep], owner[keep]
     seen = np.zeros(0x110000, bool)
     seen[symbols] = True
     alphabet = np.flatnonzero(seen)
-    place = np.zeros(0x110000, np.int64)
+    place = np.zeros(0x110000, np.int32)
     place[alphabet] = np.arange(len(alphabet))
     s, n = place[symbols], len(alphabet)
+    del codes, letter, symbols, keep, seen, place
+    kind = np.int32 if n**3 < 1 << 31 else np.int64
+    s = s.astype(kind)
     inside = owner[2:] == owner[:-2] if len(owner) > 2 else np.zeros(0, bool)
-    grams = ((s[:-2] * n + s[1:-1]) * n + s[2:])[inside] if len(owner) > 2 else np.zeros(0, np.int64)
+    grams = ((s[:-2] * kind(n) + s[1:-1]) * kind(n) + s[2:])[inside] if len(owner) > 2 else np.zeros(0, kind)
     owner = owner[: len(inside)][inside]
-    if n**3 <= 1 << 24:
+    if n**3 <= 1 << 21:  # a table of all trigrams of the letters at hand
         there = np.zeros(n**3, bool)
         there[grams] = True
         distinct = np.flatnonzero(there)
@@ -73,33 +78,36 @@ def bundle(texts: list[str], most_cells: int = 2_000_000) -> Iterator[tuple[int,
         grams = index[grams]
     else:
         distinct, grams = np.unique(grams, return_inverse=True)
+        grams = grams.astype(np.int32)
     letters = np.stack([letter_vector(int(c)) for c in alphabet]) if n else np.zeros((0, DIMENSIONS), np.int8)
     first, second = np.roll(letters, 2, axis=1), np.roll(letters, 1, axis=1)
-    step, width = max(1, min(256, most_cells // max(1, len(distinct)))), 8192
-    bounds = np.searchsorted(owner, np.arange(0, len(texts) + step, step))
-    for k, at in enumerate(range(0, len(texts), step)):
-        rows = min(step, len(texts) - at)
-        a, b = bounds[k], bounds[k + 1]
-        out = np.zeros((rows, DIMENSIONS), np.float32)
-        for low in range(0, len(distinct), width):
-            g = distinct[low : low + width]
-            mine, who = grams[a:b], owner[a:b] - at
+    rows = max(1, min(256, most_cells // max(1, min(width, len(distinct)))))
+    bounds = np.searchsorted(owner, np.arange(0, len(texts) + rows, rows))
+    out = np.zeros((len(texts), DIMENSIONS), np.float32)
+    for low in range(0, len(distinct), width):
+        g = distinct[low : low + width]
+        table = (first[g // (n * n)] * second[g // n % n] * letters[g % n]).astype(np.float32)
+        for k, at in enumerate(range(0, len(texts), rows)):
+            mine, who = grams[bounds[k] : bounds[k + 1]], owner[bounds[k] : bounds[k + 1]] - at
             if len(distinct) > width:
                 part = (mine >= low) & (mine < low + width)
                 mine, who = mine[part] - low, who[part]
-            counts = np.bincount(who * len(g) + mine, minlength=rows * len(g)).reshape(rows, len(g)).astype(np.float32)
-            out += counts @ (first[g // (n * n)] * second[g // n % n] * letters[g % n]).astype(np.float32)
-        yield at, out, lettered[at : at + rows]
+            some = min(rows, len(texts) - at)
+            counts = np.bincount(who.astype(np.int64) * len(g) + mine, minlength=some * len(g)).reshape(some, len(g)).astype(np.float32)
+            out[at : at + some] += counts @ table
+    for at in range(0, len(texts), rows):
+        yield at, out[at : at + rows], lettered[at : at + rows]
 
 
 def fit(docs: DataFrame, train: Column, text_column: str = "text", lang_column: str = "lang", id_column: str = "doc_id", fit_rows: int = FIT_ROWS) -> dict[str, np.ndarray]:
     """A unit prototype for each language of the training rows."""
-    configure(docs.sparkSession)
     rows = docs.where(train & F.col(lang_column).isNotNull() & F.col(text_column).isNotNull())
     total = rows.count()
-    if total > fit_rows:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(SEED), id_column), F.lit(1 << 30)) < F.lit(int(fit_rows / total * (1 << 30))))
+    if total > fit_rows:  # each row draws for itself, so that many rows of one id cannot all enter
+        draw = F.xxhash64(F.lit(SEED), F.col(id_column), F.monotonically_increasing_id())
+        rows = rows.withColumn("__draw", draw).where(F.pmod("__draw", F.lit(1 << 30)) < F.lit(int(fit_rows / total * (1 << 30))))
 
+    @tidy
     def profiles(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in it:
@@ -124,19 +132,19 @@ def fit(docs: DataFrame, train: Column, text_column: str = "text", lang_column:
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with lang_pred and score (the cosine, 0 if negative).  No shuffle; the model has a row for each language."""
-    configure(docs.sparkSession)
-    own = ("lang_pred", "score")
-    kept = [c for c in docs.columns if c not in own and (keep_text or c != text_column)]
+    own, text = ("lang_pred", "score"), free(docs, "text_of_row")
+    kept = [c for c in kept_columns(docs, *own) if keep_text or c.lower() != text_column.lower()]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
     names = sorted(prototypes)
     matrix = np.stack([prototypes[x] for x in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a, b in batches(batch, "__text"):
+            for a, b in batches(batch, text):
                 part = batch.slice(a, b - a)
                 langs, scores = ["und"] * (b - a), np.zeros(b - a)
-                for at, vectors, lettered in bundle(strings(part.column("__text"))):
+                for at, vectors, lettered in bundle(strings(part.column(text))):
                     norms = np.linalg.norm(vectors, axis=1)
                     if not names:
                         continue
@@ -147,4 +155,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_column: str
                         scores[at + i] = min(1.0, max(0.0, float(cosines[i, best[i]])))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(langs), pa.array(scores)], names=[*kept, *own])
 
-    return docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_column).cast("string").alias(text)).mapInArrow(run, schema)

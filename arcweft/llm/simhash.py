@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import batches, configure, cut, forest, linked_components, words
+from arcweft.llm.common import batches, cut, forest, linked_components, tidy, words
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -147,8 +147,8 @@ def fingerprint_texts(texts: pa.Array) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, fp, print) of every row; print is a 64-bit hash of the text, which tells rows of one id apart."""
-    configure(docs.sparkSession)
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for a, b in batches(batch, "text"):

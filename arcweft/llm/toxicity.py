@@ -4,13 +4,14 @@ Logistic regression over the presence of words.  For each labelled text that nam
 are swapped for others of the same kind, and the squared change of the score's logit is penalised.  Thus weight on
 group names costs, and neutral mentions are scored like any other text.
 
-The fit reads a bounded sample of the labelled rows (fit_rows, drawn by a hash of the id) and keeps at most
+The fit reads a bounded sample of the labelled rows (about fit_rows, drawn by a hash of the id) and keeps at most
 MOST_FEATURES words, those that tell the labels apart best, plus the group terms seen; scores are given to every whole
 text.
 
 Defined cases: null and empty texts get the score of a text without known words; null labels are left out; documents
 labelled more than once count as often; with labels of one class only the score is that class's share, 0 if there are
-none (next to it, as a probability); ties among words go by the word; extra columns pass on.
+none (next to it, as a probability); ties among words go by the word; extra columns pass on, but for those named like
+the operator's own in any case of letters, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arcweft.llm.common import batches, configure, words
+from arcweft.llm.common import batches, free, kept_columns, tidy, words
 
 FIT_ROWS, MOST_FEATURES, LEAST_DOCUMENTS = 20_000, 4096, 5
 RIDGE, INVARIANCE, ROUNDS = 0.5, 1.0, 400
@@ -106,26 +107,35 @@ def _sample(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int, te
     total = chosen.count()
     if total > fit_rows:
         chosen = chosen.where(F.pmod(F.xxhash64(F.lit(3), "__id"), F.lit(1 << 30)) < F.lit(int(fit_rows / total * (1 << 30))))
-    # Bounded by fit_rows, up to the spread of a hash.
-    return docs.select(F.col(id_column).alias("__id"), F.col(text_column).cast("string").alias("text")).join(F.broadcast(chosen), "__id").select("text", "label")
+    # About fit_rows labels at most.  If their ids stand in more rows than that, the rows draw again, each for itself.
+    chosen = F.broadcast(chosen)
+    ids = docs.select(F.col(id_column).alias("__id"))
+    rows = ids.join(chosen, "__id").count() if total else 0
+    texts = docs.select(F.col(id_column).alias("__id"), F.col(text_column).cast("string").alias("text"), F.monotonically_increasing_id().alias("__place"))
+    sample = texts.join(chosen, "__id")
+    if rows > 2 * fit_rows:
+        sample = sample.where(F.pmod(F.xxhash64(F.lit(5), "__id", "__place"), F.lit(1 << 30)) < F.lit(int(fit_rows / rows * (1 << 30))))
+    return sample.select("text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_ROWS, text_column: str = "text", label_column: str = "toxic", id_column: str = "doc_id") -> Model:
     """Fit on the labelled training rows; train is a condition on labels."""
-    configure(docs.sparkSession)
     sample = _sample(docs, labels, train, fit_rows, text_column, label_column, id_column)
 
+    @tidy
     def tallies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            label = batch.column("label").to_numpy(zero_copy_only=False)
-            owner, index, distinct = terms(batch.column("text"))
-            n = len(distinct) + 1
-            pairs = np.unique(owner.astype(np.int64) * n + index)
-            hot = label[pairs // n] > 0
-            both = [np.bincount(pairs[hot] % n, minlength=n - 1)[: n - 1], np.bincount(pairs[~hot] % n, minlength=n - 1)[: n - 1]]
-            names = [distinct.cast(pa.string())] + [pa.array(x.astype(np.int64)) for x in both]
-            yield pa.RecordBatch.from_arrays(names, names=["word", "hot", "cold"])
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([int((label > 0).sum())]), pa.array([int((label <= 0).sum())])], names=["word", "hot", "cold"])
+        for whole in it:
+            for a, b in batches(whole, "text"):
+                batch = whole.slice(a, b - a)
+                label = batch.column("label").to_numpy(zero_copy_only=False)
+                owner, index, distinct = terms(batch.column("text"))
+                n = len(distinct) + 1
+                pairs = np.unique(owner.astype(np.int64) * n + index)
+                hot = label[pairs // n] > 0
+                both = [np.bincount(pairs[hot] % n, minlength=n - 1)[: n - 1], np.bincount(pairs[~hot] % n, minlength=n - 1)[: n - 1]]
+                names = [distinct.cast(pa.string())] + [pa.array(x.astype(np.int64)) for x in both]
+                yield pa.RecordBatch.from_arrays(names, names=["word", "hot", "cold"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([int((label > 0).sum())]), pa.array([int((label <= 0).sum())])], names=["word", "hot", "cold"])
 
     tally = sample.mapInArrow(tallies, "word string, hot bigint, cold bigint").groupBy("word").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
     swap = swaps()
@@ -143,8 +153,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, fit_rows: int = FIT_R
     index = {w: i for i, w in enumerate(vocabulary)}
     swapped = np.array([index[swap[w]] if w in swap else i for i, w in enumerate(vocabulary)])
 
+    @tidy
     def vectors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in (whole.slice(a, b - a) for whole in it for a, b in batches(whole, "text")):
             doc, word = shape.features(batch.column("text"))
             at = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             yield pa.RecordBatch.from_arrays([pa.array([word[at[i] : at[i + 1]].astype(np.int16).tobytes() for i in range(batch.num_rows)], pa.binary()), batch.column("label")], names=["words", "label"])
@@ -185,16 +196,16 @@ def _descend(lists: list[np.ndarray], y: np.ndarray, swapped: np.ndarray, n: int
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with score (0 to 1) and predicted (score >= 0.5).  No shuffle; the model has at most some thousands of words."""
-    configure(docs.sparkSession)
-    own = ("score", "predicted")
-    kept = [c for c in docs.columns if c not in own and (keep_text or c != text_column)]
+    own, text = ("score", "predicted"), free(docs, "text_of_row")
+    kept = [c for c in kept_columns(docs, *own) if keep_text or c.lower() != text_column.lower()]
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
 
+    @tidy
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for a, b in batches(batch, "__text"):
+            for a, b in batches(batch, text):
                 part = batch.slice(a, b - a)
-                p = model.score(part.column("__text"))
+                p = model.score(part.column(text))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, *own])
 
-    return docs.select(*kept, F.col(text_column).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_column).cast("string").alias(text)).mapInArrow(run, schema)
