@@ -83,8 +83,9 @@ def spread(*columns: str, seed: int = 7) -> Column:
 
 def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Array]:
     """Offsets (n + 1) and values of the maximal runs of non-white-space, A-Z lower-cased; null counts as empty."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    # Lower-cased before the cast: ascii_lower misreads arrays whose first offset is not zero, which casts of slices have.
+    texts = pc.fill_null((pc.ascii_lower(texts) if lower else texts).cast(pa.large_string()), "")
+    parts = pc.ascii_split_whitespace(texts)
     flat = parts.flatten()
     ends = parts.offsets.to_numpy().astype(np.int64)
     full = pc.greater(pc.binary_length(flat), 0)

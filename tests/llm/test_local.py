@@ -139,6 +139,19 @@ def test_words_split_on_ascii_white_space_only():
     assert re.findall(r"[^\x20\x09-\x0D]+", brute.lowered(" A\x0bb\xa0C ")) == values.to_pylist()
 
 
+def test_words_of_slices():
+    from arcweft.llm.common import words
+
+    texts = ["Ünïcode É tÄxt", None, "", "más PALABRAS aquí"] * 50
+    table = pa.array(texts)
+    for a, b in ((0, 200), (1, 90), (77, 78), (150, 200)):
+        for lower in (True, False):
+            offsets, values = words(table.slice(a, b - a), lower)
+            values.validate(full=True)
+            want = [re.findall(r"[^\x20\x09-\x0D]+", brute.lowered(t) if lower else t or "") for t in texts[a:b]]
+            assert values.to_pylist() == [w for ws in want for w in ws] and np.diff(offsets).tolist() == list(map(len, want))
+
+
 LONG = "A long paragraph, which tells, at some length, what the page is about. " * 6
 
 
