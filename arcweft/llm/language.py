@@ -132,8 +132,10 @@ def fit(docs: DataFrame, train: Column, text_column: str = "text", lang_column:
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with lang_pred and score (the cosine, 0 if negative).  No shuffle; the model has a row for each language."""
-    own, text = ("lang_pred", "score"), free(docs, "text_of_row")
+    own = ("lang_pred", "score")
     kept = [c for c in kept_columns(docs, *own) if keep_text or c.lower() != text_column.lower()]
+    there = text_column in kept and docs.schema[text_column].dataType == T.StringType()
+    text = text_column if there else free(docs, "text_of_row")
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
     names = sorted(prototypes)
     matrix = np.stack([prototypes[x] for x in names]).astype(np.float32) if names else np.zeros((0, DIMENSIONS), np.float32)
@@ -155,4 +157,4 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_column: str
                         scores[at + i] = min(1.0, max(0.0, float(cosines[i, best[i]])))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(langs), pa.array(scores)], names=[*kept, *own])
 
-    return docs.select(*kept, F.col(text_column).cast("string").alias(text)).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if there else [F.col(text_column).cast("string").alias(text)])).mapInArrow(run, schema)

@@ -14,8 +14,9 @@ So no link is lost.  Candidates are verified in the join itself; links become a
 before they are shuffled, and components come from star contraction.  Copies meet at their one fingerprint.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero and links like any other; texts of one
-to three words have one shingle; rows with a null id keep a fingerprint and component but never name one; repeated ids
-are compared row by row, and of them one row stays in deduplicate.
+to three words have one shingle; rows with a null id keep a fingerprint and component but never name one (a component
+of them alone has a null name); repeated ids are compared row by row; of rows of one id and text one stays in
+deduplicate; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arcweft.llm.common import batches, cut, forest, linked_components, tidy, words
+from arcweft.llm.common import batches, cut, forest, free, linked_components, tidy, words
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -195,33 +196,35 @@ def links(distinct: DataFrame) -> DataFrame:
     return found.mapInArrow(trees, "u long, v long")
 
 
-def _rooted(marked: DataFrame) -> DataFrame:
-    """(fp, first, component) of every fingerprint: its smallest id, and the fingerprint that stands for its component."""
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    component = linked_components(links(distinct.select("fp"))).select(F.col("node").alias("fp"), "component")
-    return distinct.join(component, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+def _labelled(marked: DataFrame, name: Column) -> DataFrame:
+    """(fp, component) of every fingerprint: the least name that it reaches by links.
+
+    name: an order over rows, other for rows of other fingerprints.  Fingerprints go by their least names, so that the
+    least name of a component needs no gathering: it is what star contraction ends with.
+    """
+    named = cut(marked.groupBy("fp").agg(F.min(name).alias("name")))
+    u, v = (named.select(F.col("fp").alias(x), F.col("name").alias(f"name_{x}")) for x in "uv")
+    edges = links(named.select("fp")).join(u, "u").join(v, "v").select(F.col("name_u").alias("u"), F.col("name_v").alias("v"))
+    found = linked_components(edges).select(F.col("node").alias("name"), "component")
+    return named.join(found, "name", "left").select("fp", F.coalesce("component", "name").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the smallest id reachable by links."""
     marked = cut(fingerprints(docs, text_column, id_column).select("doc_id", "fp"))
-    rooted = _rooted(marked)
-    least = rooted.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("component_id"))
-    return marked.join(rooted.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    component = _labelled(marked, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp"))
+    return marked.join(component, "fp").select("doc_id", "fp", F.col("component.doc_id").alias("component_id"))
 
 
-def deduplicate(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id", by_row: bool = False) -> DataFrame:
-    """One row of each group of near copies: that of the smallest id.  Rows with a null id are not kept.
+def deduplicate(docs: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """One row of each group of near copies: that of the smallest id, null ids last.
 
-    by_row: rows are told apart by id and text, so that each group keeps one row whatever the ids; null ids come last.
+    Rows are told apart by id and text, so that each group keeps one row whatever the ids.
     """
-    if not by_row:
-        kept = near_duplicates(docs, text_column, id_column).where("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
-        return docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
     marked = cut(fingerprints(docs, text_column, id_column))
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
-    kept = marked.join(_rooted(marked).select("fp", "component"), "fp").groupBy("component").agg(F.min(key).alias("k"))
-    kept = kept.select(F.col("k.doc_id").alias("__id"), F.col("k.print").alias("__kept"))
-    rows = docs.withColumn("__print", F.xxhash64(F.col(text_column).cast("string")))
-    rows = rows.join(kept, (F.col("__print") == F.col("__kept")) & F.col(id_column).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return rows.dropDuplicates([id_column, "__print"]).drop("__print")
+    component = _labelled(marked, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print"))
+    kept = component.select("component").distinct().select(F.col("component.doc_id").alias("id_kept"), F.col("component.print").alias("print_kept"))
+    own = free(docs, "print_of_row")
+    rows = docs.withColumn(own, F.xxhash64(F.col(text_column).cast("string")))
+    rows = rows.join(kept, (F.col(own) == F.col("print_kept")) & F.col(id_column).cast("long").eqNullSafe(F.col("id_kept")), "left_semi")
+    return rows.dropDuplicates([id_column, own]).drop(own)

@@ -196,8 +196,10 @@ def _descend(lists: list[np.ndarray], y: np.ndarray, swapped: np.ndarray, n: int
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", keep_text: bool = False) -> DataFrame:
     """docs with score (0 to 1) and predicted (score >= 0.5).  No shuffle; the model has at most some thousands of words."""
-    own, text = ("score", "predicted"), free(docs, "text_of_row")
+    own = ("score", "predicted")
     kept = [c for c in kept_columns(docs, *own) if keep_text or c.lower() != text_column.lower()]
+    there = text_column in kept and docs.schema[text_column].dataType == T.StringType()
+    text = text_column if there else free(docs, "text_of_row")
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType(), False), T.StructField("predicted", T.IntegerType(), False)])
 
     @tidy
@@ -208,4 +210,4 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", keep_text: b
                 p = model.score(part.column(text))
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*kept, *own])
 
-    return docs.select(*kept, F.col(text_column).cast("string").alias(text)).mapInArrow(run, schema)
+    return docs.select(*kept, *([] if there else [F.col(text_column).cast("string").alias(text)])).mapInArrow(run, schema)
