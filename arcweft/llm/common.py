@@ -15,18 +15,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arcweft.plans.loops import ensure_checkpoint_dir
+from arcweft.plans.loops import cut, ensure_checkpoint_dir
 
 #: Bytes of text that a Python worker handles at once, about.  Spark bounds its batches by bytes (spark.sql.execution.arrow.maxBytesPerBatch).
 RUN_BYTES = 2_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder, cutting lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table of its own in the shared checkpoint folder: columns are stored and read one by one."""
     spark = df.sparkSession

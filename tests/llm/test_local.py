@@ -122,13 +122,16 @@ def test_graph_search_recall():
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(found, want, strict=True)]) > 0.9
 
 
-def test_linked_pairs_equal_brute_force():
+@pytest.mark.parametrize("blocks", [None, 1, 3, 20])
+def test_linked_pairs_equal_brute_force(blocks):
     rng = np.random.default_rng(4)
     x = rng.standard_normal((300, 20))
     x[100:200] = x[:100] + 0.25 * rng.standard_normal((100, 20))
-    found = {tuple(p) for a, b in vectors.linked_pairs(x, x, 0.9, True, 8) for p in zip(a.tolist(), b.tolist(), strict=True)}
+    found = [tuple(p) for a, b in vectors.linked_pairs(x, x, 0.9, True, blocks) for p in zip(a.tolist(), b.tolist(), strict=True)]
     u = x / np.linalg.norm(x, axis=1)[:, None]
-    assert found == {tuple(p) for p in np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist()}
+    assert len(found) == len(set(found)) and set(found) == {tuple(p) for p in np.argwhere(np.triu(u @ u.T >= 0.9, 1)).tolist()}
+    other = [tuple(p) for a, b in vectors.linked_pairs(x[:150], x[150:], 0.9, False, blocks) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    assert len(other) == len(set(other)) and set(other) == {tuple(p) for p in np.argwhere(u[:150] @ u[150:].T >= 0.9).tolist()}
 
 
 def test_words_split_on_ascii_white_space_only():

@@ -87,9 +87,13 @@ def test_simhash_equals_brute_force(docs):
 def test_vectors_equal_brute_force(spark, sf_dir):
     table = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     x = {r.vec_id: np.array(r.embedding, np.float64) for r in table.collect()}
-    bad = spark.createDataFrame([(9001, None), (9002, [0.0] * 64), (9003, [float("nan")] * 64), (9004, [1.0])], "vec_id long, embedding array<float>")
-    got = {r.vec_id: r for r in vectors.near_duplicates(table.union(bad).withColumn("n", F.lit(1)), 0.9, tile=60).collect()}
-    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (9001, 9002, 9003, 9004))
+    bad = spark.createDataFrame([(9001, None), (9002, [0.0] * 64), (9003, [float("nan")] * 64), (9004, [1.0]), (9005, []), (None, [1.0, 2.0]), (None, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    short = spark.createDataFrame([(9101, [1.0, 2.0, 3.0]), (9102, [1.0, 2.0, 3.0]), (9103, [1.0, 2.0, 3.1])], "vec_id long, embedding array<float>")
+    whole = vectors.near_duplicates(table.union(bad).union(short).withColumn("n", F.lit(1)), 0.9, tile=60).collect()
+    got = {r.vec_id: r for r in whole}
+    assert len(whole) == len(got) + 1 and got[None].n_links == 0 and got[None].component_id is None
+    assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in (9001, 9002, 9003, 9004, 9005))
+    assert all(got[i].n_links == 2 and got[i].component_id == 9101 for i in (9101, 9102, 9103))
     ids = sorted(x)
     m = np.stack([x[i] / np.linalg.norm(x[i]) for i in ids])
     near = (m @ m.T >= 0.9) & ~np.eye(len(ids), dtype=bool)
