@@ -67,14 +67,15 @@ def pagerank(g: PropertyGraph, damping: float = 0.85, iterations: int = 100) ->
     links = cut(g.edges.groupBy("src", "dst").agg(F.count("*").alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("o")).alias("p")))
     ends = g.nodes.select(F.col("id").alias("node")).join(out.select(F.col("src").alias("node"), F.lit(False).alias("dangling")), "node", "left")
     rank = cut(ends.select("node", F.coalesce("dangling", F.lit(True)).alias("dangling"), F.lit(1.0 / max(n, 1)).alias("score")))
+    lost = rank.where("dangling").agg(F.sum("score")).first()[0] or 0.0
     for _ in range(iterations):
-        lost = rank.where("dangling").agg(F.sum("score")).first()[0] or 0.0
         got = links.join(rank, links["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("s"))
         base = (1 - damping) / n + damping * lost / n if n else 0.0
         new = cut(rank.join(got, rank["node"] == got["dst"], "left").select("node", "dangling", (F.lit(base) + F.lit(damping) * F.coalesce("s", F.lit(0.0))).alias("score"), F.col("score").alias("old")))
-        change = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
-        rank = new.select("node", "dangling", "score")
-        if change < 1e-9:
+        # The change of this round and the mass that the next one has to deal out, at once.
+        change, lost = new.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.sum(F.when(F.col("dangling"), F.col("score")))).first()
+        lost, rank = lost or 0.0, new.select("node", "dangling", "score")
+        if (change or 0.0) < 1e-9:
             break
     return rank.select("node", "score")
 
@@ -103,11 +104,11 @@ def project_duration(g: PropertyGraph) -> float:
     return max(0.0, compute_critical_path(g).agg(F.max("eft")).first()[0] or 0.0)
 
 
-def build_flow_network(g: PropertyGraph) -> DataFrame:
-    """(u, v, residual): capacities with parallel edges added, and a zero edge back where there is none."""
-    e = g.edges.where("src <> dst")
-    both = e.select(F.col("src").alias("u"), F.col("dst").alias("v"), "capacity").union(e.select("dst", "src", F.lit(0.0)))
-    return both.groupBy("u", "v").agg(F.sum("capacity").alias("residual"))
+def build_flow_network(g: PropertyGraph, use_capacity_field: bool = True) -> DataFrame:
+    """(u, v, residual): capacities (or weights) with parallel edges added, and a zero edge back where there is none."""
+    e = g.edges.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("capacity" if use_capacity_field else "weight").alias("c"))
+    both = e.union(e.select("v", "u", F.lit(0.0)))
+    return both.groupBy("u", "v").agg(F.sum("c").alias("residual"))
 
 
 def _max_flow(cap: dict[int, dict[int, float]], s: int, t: int) -> tuple[float, set[int]]:
@@ -149,7 +150,7 @@ def _max_flow(cap: dict[int, dict[int, float]], s: int, t: int) -> tuple[float,
                     rest[path[-1]].pop()
 
 
-def max_flow(g: PropertyGraph, pairs: DataFrame) -> DataFrame:
+def max_flow(g: PropertyGraph, pairs: DataFrame, use_capacity_field: bool = True) -> DataFrame:
     """(src, sink, max_flow, source_side array): for each pair; ValueError if src = sink.
 
     Only edges on walks from src to sink can carry flow, and only they are gathered; pairs run in parallel.  The
@@ -158,7 +159,7 @@ def max_flow(g: PropertyGraph, pairs: DataFrame) -> DataFrame:
     if not pairs.where("src = sink").isEmpty():
         raise ValueError("src and sink must differ")
     ab = pairs.select(F.col("src").alias("a"), F.col("sink").alias("b")).distinct()
-    parts = between(g, ab).where("src <> dst").groupBy("a", "b", "src", "dst").agg(F.sum("capacity").alias("c"))
+    parts = between(g, ab).where("src <> dst").groupBy("a", "b", "src", "dst").agg(F.sum("capacity" if use_capacity_field else "weight").alias("c"))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         a, b = int(part["a"].iloc[0]), int(part["b"].iloc[0])

@@ -42,39 +42,53 @@ def dijkstra(g: PropertyGraph, seeds: Seeds) -> DataFrame:
 
 
 def johnsons(g: PropertyGraph) -> tuple[DataFrame, bool]:
-    """((src, dst, dist, next), has_negative_cycle) for all pairs, from all sources in one loop; weights may be negative."""
-    start = g.nodes.select(F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0.0).alias("value"))
-    dist, settled = relax(start, _weights(g), "min", g.num_nodes())
-    if not settled:
-        return dist.limit(0).select(F.col("seed").alias("src"), F.col("node").alias("dst"), F.col("value").alias("dist"), F.col("node").alias("next")), True
-    return _with_next(g, dist), False
+    """((src, dst, dist, next), has_negative_cycle) for all pairs, from all sources in one loop; weights may be negative.
+
+    next is the first node after src on a shortest path, of several the one of smallest id.  It is carried with the
+    value that it leads to, never found again by comparing sums, so that weights of any kind lose no path.
+    """
+    steps = cut(_weights(g).groupBy("src", "dst").agg(F.min("w").alias("w")))
+    state = cut(g.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"), F.lit(None).cast("int").alias("next"), F.lit(True).alias("moved")))
+    for _ in range(max(1, g.num_nodes())):
+        delta = state.where("moved").select(F.col("src").alias("a"), F.col("dst").alias("b"), "dist", "next")
+        offer = F.min(F.struct((F.col("dist") + F.col("w")).alias("dist"), F.coalesce("next", "dst").alias("next")))
+        offered = delta.join(steps, delta["b"] == steps["src"]).groupBy(F.col("a").alias("src"), "dst").agg(offer.alias("offer"))
+        state = cut(_improved(state, offered))
+        if not state.where("src = dst and dist < 0").isEmpty():
+            break
+        if state.where("moved").isEmpty():
+            return _own_next(state), False
+    return _own_next(state.limit(0)), True
+
+
+def _improved(state: DataFrame, offered: DataFrame) -> DataFrame:
+    """The state with what offered (src, dst, offer) betters: a smaller value, or an equal one by a smaller next."""
+    held = state.select("src", "dst", F.struct("dist", "next").alias("old"))
+    # A pair of a node with itself has no next: nulls come first, so that only a smaller value betters it.
+    moved = F.col("offer").isNotNull() & (F.col("old").isNull() | (F.col("offer") < F.col("old")))
+    both = held.join(offered, ["src", "dst"], "full").withColumn("moved", moved).withColumn("k", F.when(F.col("moved"), F.col("offer")).otherwise(F.col("old")))
+    return both.select("src", "dst", "k.dist", "k.next", "moved")
+
+
+def _own_next(state: DataFrame) -> DataFrame:
+    return state.select("src", "dst", "dist", F.when(F.col("src") == F.col("dst"), F.col("src")).otherwise(F.col("next")).alias("next"))
 
 
 def floyd_warshall(g: PropertyGraph) -> tuple[DataFrame, bool]:
     """As johnsons(), by path doubling: about log2 of the longest path's edges in rounds."""
-    w = g.edges.groupBy("src", "dst").agg(F.min("weight").alias("value"))
-    own = g.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("value"))
-    d = cut(w.union(own).groupBy("src", "dst").agg(F.min("value").alias("value")))
+    one = _weights(g).select("src", "dst", F.col("w").alias("dist"), F.col("dst").alias("next"))
+    own = g.nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"), F.lit(None).cast("int").alias("next"))
+    state = cut(one.union(own).groupBy("src", "dst").agg(F.min(F.struct("dist", "next")).alias("k")).select("src", "dst", "k.dist", "k.next"))
     for _ in range(max(1, g.num_nodes()).bit_length() + 1):
-        b = d.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("value").alias("more"))
-        longer = d.join(b, d["dst"] == b["mid"]).groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("value") + F.col("more")).alias("value"))
-        both = cut(longer.join(d.withColumnRenamed("value", "old"), ["src", "dst"], "left"))
-        if not both.where("src = dst and value < 0").isEmpty():
-            return both.limit(0).select("src", "dst", F.col("value").alias("dist"), F.col("dst").alias("next")), True
-        d = both.select("src", "dst", "value")
-        if both.where("old is null or value < old").isEmpty():
+        if not state.where("src = dst and dist < 0").isEmpty():
+            return _own_next(state.limit(0)), True
+        second = state.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("dist").alias("more"), F.col("next").alias("then"))
+        longer = F.min(F.struct((F.col("dist") + F.col("more")).alias("dist"), F.coalesce("next", "then").alias("next")))
+        offered = state.join(second, state["dst"] == second["mid"]).groupBy("src", F.col("to").alias("dst")).agg(longer.alias("offer"))
+        state = cut(_improved(state, offered))
+        if state.where("moved").isEmpty():
             break
-    return _with_next(g, d.select(F.col("src").alias("seed"), F.col("dst").alias("node"), "value")), False
-
-
-def _with_next(g: PropertyGraph, dist: DataFrame) -> DataFrame:
-    """The first hop of a shortest path: of those that fit the smallest id."""
-    first = g.edges.where("src <> dst").groupBy("src", "dst").agg(F.min("weight").alias("w")).select(F.col("src").alias("seed"), F.col("dst").alias("hop"), "w")
-    rest = dist.select(F.col("seed").alias("hop"), "node", F.col("value").alias("more"))
-    fit = first.join(rest, "hop").join(dist, ["seed", "node"]).where("w + more = value and seed <> node")
-    hop = fit.groupBy("seed", "node").agg(F.min("hop").alias("next"))
-    out = dist.join(hop, ["seed", "node"], "left")
-    return out.select(F.col("seed").alias("src"), F.col("node").alias("dst"), F.col("value").alias("dist"), F.when(F.col("seed") == F.col("node"), F.col("seed")).otherwise(F.col("next")).alias("next"))
+    return _own_next(state), False
 
 
 def path_to(tree: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
@@ -114,47 +128,71 @@ def between(g: PropertyGraph, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct().join(ahead, "a").join(g.edges, "src").join(back, ["b", "dst"]).select("a", "b", "src", "dst", "adj_idx", "weight", "capacity", "is_fallback")
 
 
-def cheapest(edges: dict[int, dict[int, float]], a: int, b: int, k: int, most: int) -> list[tuple[float, tuple[int, ...]]]:
-    """The k cheapest simple paths by (cost, path), by best-first search under exact lower bounds."""
+def dijkstra_path(edges: dict[int, dict[int, float]], a: int, b: int, banned_nodes: frozenset[int] = frozenset(), banned_edges: frozenset[tuple[int, int]] = frozenset()) -> tuple[float, list[int]] | None:
+    """Cost and nodes of the cheapest way from a to b without banned nodes and edges; of equal ones the least by nodes."""
+    for out in edges.values():
+        if any(w < 0 for w in out.values()):
+            raise ValueError("negative weight")
     back: dict[int, list[tuple[int, float]]] = {}
     for u, out in edges.items():
         for v, w in out.items():
-            if w < 0:
-                raise ValueError("negative weight")
-            back.setdefault(v, []).append((u, w))
-    rest, heap = {}, [(0.0, b)]
+            if u not in banned_nodes and v not in banned_nodes and (u, v) not in banned_edges:
+                back.setdefault(v, []).append((u, w))
+    rest: dict[int, float] = {}
+    turn: dict[int, int] = {}  # when a node's way to b was settled
+    heap = [(0.0, b)]
     while heap:
         d, v = heapq.heappop(heap)
-        if v not in rest:
-            rest[v] = d
-            for u, w in back.get(v, ()):
-                if u not in rest:
-                    heapq.heappush(heap, (d + w, u))
-    if a not in rest:
+        if v in rest:
+            continue
+        rest[v], turn[v] = d, len(turn)
+        for u, w in back.get(v, ()):
+            if u not in rest:
+                heapq.heappush(heap, (d + w, u))
+    if a not in rest or a in banned_nodes:
+        return None
+    path, cost = [a], 0.0
+    while path[-1] != b:
+        u = path[-1]
+        tight = [(v, w) for v, w in edges[u].items() if v in rest and (u, v) not in banned_edges and turn[v] < turn[u] and w + rest[v] <= rest[u] + 1e-9]
+        v, w = min(tight)
+        path.append(v)
+        cost += w
+    return cost, path
+
+
+def cheapest(edges: dict[int, dict[int, float]], a: int, b: int, k: int) -> list[tuple[float, tuple[int, ...]]]:
+    """The k cheapest simple paths by (cost, path): each leaves one found before at some node, by an edge none has taken."""
+    first = dijkstra_path(edges, a, b)
+    if first is None:
         return []
-    found: list[tuple[float, tuple[int, ...]]] = []
-    queue, steps = [(rest[a], (a,), 0.0)], 0
-    while queue:
-        bound, path, cost = heapq.heappop(queue)
-        if len(found) >= k and bound > found[k - 1][0] + 1e-9:
+    found, waiting, known = [(first[0], tuple(first[1]))], [], {tuple(first[1])}
+    while len(found) < k:
+        last = found[-1][1]
+        for i in range(len(last) - 1):
+            root = last[: i + 1]
+            taken = frozenset((p[i], p[i + 1]) for _, p in found if p[: i + 1] == root)
+            spur = dijkstra_path(edges, last[i], b, frozenset(root[:-1]), taken)
+            if spur is None:
+                continue
+            path = (*root, *spur[1][1:])
+            if path not in known:
+                known.add(path)
+                cost = 0.0
+                for u, v in zip(path, path[1:], strict=False):
+                    cost += edges[u][v]
+                heapq.heappush(waiting, (cost, path))
+        if not waiting:
             break
-        if path[-1] == b:
-            found.append((cost, path))
-            found.sort()
-            continue
-        steps += 1
-        if steps > most:
-            raise RuntimeError(f"more than {most} partial paths between {a} and {b}")
-        for v, w in edges.get(path[-1], {}).items():
-            if v in rest and v not in path:
-                heapq.heappush(queue, (cost + w + rest[v], (*path, v), cost + w))
-    return found[: max(k, 1)]
+        found.append(heapq.heappop(waiting))
+    return found
 
 
-def yen_k_shortest_paths(g: PropertyGraph, pairs: DataFrame, k: int, most_steps: int = 1_000_000) -> DataFrame:
+def yen_k_shortest_paths(g: PropertyGraph, pairs: DataFrame, k: int) -> DataFrame:
     """(src, dst, rank, path, cost): the k cheapest simple paths of each pair (src, dst); ties by the path.
 
-    Parallel edges count by their least weight; k = 0 gives one path; more than most_steps partial paths raise.
+    Parallel edges count by their least weight; k = 0 gives one path.  A pair takes k times the path's nodes searches,
+    over the edges on its walks only; pairs run in parallel.
     """
     if k < 0:
         raise ValueError("k must not be negative")
@@ -166,7 +204,7 @@ def yen_k_shortest_paths(g: PropertyGraph, pairs: DataFrame, k: int, most_steps:
         edges: dict[int, dict[int, float]] = {}
         for u, v, w in zip(part["src"].tolist(), part["dst"].tolist(), part["w"].tolist(), strict=True):
             edges.setdefault(u, {})[v] = w
-        rows = [(a, b, i + 1, list(p), c) for i, (c, p) in enumerate(cheapest(edges, a, b, max(k, 1), most_steps))]
+        rows = [(a, b, i + 1, list(p), c) for i, (c, p) in enumerate(cheapest(edges, a, b, max(k, 1)))]
         return pd.DataFrame(rows, columns=["src", "dst", "rank", "path", "cost"])
 
     same = ab.where("a = b").select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("rank"), F.array("a").alias("path"), F.lit(0.0).alias("cost"))
@@ -191,4 +229,4 @@ def resilience_score(g: PropertyGraph, pairs: DataFrame, k: int = 5) -> DataFram
     return pairs.select("src", "dst").distinct().join(per, ["src", "dst"], "left").join(uses, ["src", "dst"], "left").select("src", "dst", score.alias("score"))
 
 
-__all__ = ["bellman_ford", "between", "cheapest", "dijkstra", "floyd_warshall", "johnsons", "pair_paths", "path_edges", "path_to", "resilience_score", "yen_k_shortest_paths"]
+__all__ = ["bellman_ford", "between", "cheapest", "dijkstra", "dijkstra_path", "floyd_warshall", "johnsons", "pair_paths", "path_edges", "path_to", "resilience_score", "yen_k_shortest_paths"]

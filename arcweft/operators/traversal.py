@@ -14,11 +14,16 @@ from arcweft.plans.loops import PIECES, cut, expand, ranked, seeds_of
 Seeds = DataFrame | Iterable[int]
 
 
-def bfs(g: PropertyGraph, seeds: Seeds) -> DataFrame:
-    """(seed, node, pos, depth): breadth-first discovery order, neighbours in the order of edges."""
+def bfs(g: PropertyGraph, seeds: Seeds, proceed: Column | None = None) -> DataFrame:
+    """(seed, node, pos, depth): breadth-first discovery order, neighbours in the order of edges.
+
+    proceed: a seed for which this (over node, pos, depth) is false somewhere goes no further than that depth.
+    """
     edges = cut(g.edges.select("src", "dst", "adj_idx"))
     frontier = cut(seeds_of(g.nodes.sparkSession, seeds).withColumn("pos", F.lit(0)).withColumn("depth", F.lit(0)))
     state, depth, pieces = frontier, 0, 1
+    if proceed is not None:
+        frontier = frontier.where(proceed)
     while True:
         depth += 1
         found = frontier.join(edges, frontier["node"] == edges["src"]).groupBy("seed", F.col("dst").alias("node")).agg(F.min(F.struct("pos", "adj_idx")).alias("k"))
@@ -31,11 +36,13 @@ def bfs(g: PropertyGraph, seeds: Seeds) -> DataFrame:
         state, pieces = state.union(frontier), pieces + 1
         if pieces >= PIECES:
             state, pieces = cut(state), 1
+        if proceed is not None:
+            frontier = frontier.join(frontier.where(~proceed).select("seed").distinct(), "seed", "left_anti")
 
 
 def bfs_with_callback(g: PropertyGraph, seeds: Seeds, proceed: Column) -> DataFrame:
     """bfs() up to and with the first node of each seed for which proceed (over node, pos, depth) is false."""
-    order = bfs(g, seeds)
+    order = bfs(g, seeds, proceed)
     stop = order.where(~proceed).groupBy("seed").agg(F.min("pos").alias("stop"))
     return order.join(stop, "seed", "left").where(F.col("stop").isNull() | (F.col("pos") <= F.col("stop"))).drop("stop")
 
@@ -59,7 +66,8 @@ def transitive_closure(g: PropertyGraph) -> DataFrame:
 def can_reach(g: PropertyGraph, u: int, v: int) -> bool:
     """Whether v is reachable from u."""
     g.require(u, v)
-    return u == v or not reach(g, [u]).where(F.col("node") == v).isEmpty()
+    found = F.col("node") == v
+    return u == v or not expand(seeds_of(g.nodes.sparkSession, [u]), g.edges, until=found).where(found).isEmpty()
 
 
 def reachable_set(g: PropertyGraph, seeds: Seeds) -> DataFrame:
@@ -103,9 +111,9 @@ def has_fallback_path(g: PropertyGraph, pairs: DataFrame) -> DataFrame:
 
     A node stands twice, as 2 id before and 2 id + 1 after a fallback edge.
     """
-    e = g.edges.select("src", "dst", "is_fallback").distinct()
+    e = g.edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "is_fallback").distinct()
     before = e.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + F.col("is_fallback").cast("int")).alias("dst"))
     after = e.select((F.col("src") * 2 + 1).alias("src"), (F.col("dst") * 2 + 1).alias("dst"))
-    start = pairs.select(F.col("src").alias("seed"), (F.col("src") * 2).alias("node")).distinct()
+    start = pairs.select(F.col("src").alias("seed"), (F.col("src").cast("long") * 2).alias("node")).distinct()
     r = expand(start, before.union(after)).where("node % 2 = 1").select(F.col("seed").alias("src"), F.floor(F.col("node") / 2).cast("int").alias("dst")).distinct().withColumn("hit", F.lit(True))
     return pairs.join(r, ["src", "dst"], "left").select("src", "dst", (F.coalesce("hit", F.lit(False)) | (F.col("src") == F.col("dst"))).alias("has_fallback"))

@@ -16,10 +16,16 @@ SORTED_BY_ONE = 1_000_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; set an own folder only where it is unset."""
+    """Use the session's spark.checkpoint.dir.  An own folder is set only where it is unset and one machine does all."""
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arcweft-ckpt-"))
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="arcweft-ckpt-")
+    sc.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,10 +51,11 @@ def seeds_of(spark: SparkSession, seeds: DataFrame | Iterable[int]) -> DataFrame
     return seeds.select(F.col(name).alias("seed"), F.col(name).alias("node")).distinct()
 
 
-def expand(start: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def expand(start: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS, until: Column | None = None) -> DataFrame:
     """(seed, node, depth): hop distance from each seed's nearest start node, for all seeds in one loop.
 
-    start: (seed, node); edges: (src, dst).  Only nodes new in a round are joined in the next.
+    start: (seed, node); edges: (src, dst).  Only nodes new in a round are joined in the next.  until: the loop ends
+    early after a round that found a row for which this holds.
     """
     hops = cut(edges.select("src", "dst").where("src <> dst").distinct())
     frontier = cut(start.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
@@ -61,6 +68,8 @@ def expand(start: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -
         state, pieces = state.union(frontier), pieces + 1
         if pieces >= PIECES:
             state, pieces = cut(state.coalesce(max(1, state.rdd.getNumPartitions() // PIECES))), 1
+        if until is not None and not frontier.where(until).isEmpty():
+            return state
     raise RuntimeError("expand did not end")
 
 
@@ -69,17 +78,21 @@ def relax(start: DataFrame, edges: DataFrame, best: str = "min", most_rounds: in
 
     start: (seed, node, value); edges: (src, dst, w).  Only improved rows are joined in the next round.
     """
-    agg, better = (F.min, lambda a, b: a < b) if best == "min" else (F.max, lambda a, b: a > b)
+    agg = F.min if best == "min" else F.max
+    better = (lambda a, b: a < b) if best == "min" else (lambda a, b: a > b)
     steps = cut(edges.groupBy("src", "dst").agg(agg("w").alias("w")))
-    state = delta = cut(start.groupBy("seed", "node").agg(agg("value").alias("value")))
+    state = cut(start.groupBy("seed", "node").agg(agg("value").alias("value")).withColumn("moved", F.lit(True)))
     for _ in range(most_rounds):
-        offered = delta.join(steps, delta["node"] == steps["src"]).groupBy("seed", F.col("dst").alias("node")).agg(agg(F.col("value") + F.col("w")).alias("value"))
+        delta = state.where("moved")
+        offered = delta.join(steps, delta["node"] == steps["src"]).groupBy("seed", F.col("dst").alias("node")).agg(agg(F.col("value") + F.col("w")).alias("offer"))
         held = state.select("seed", "node", F.col("value").alias("old"))
-        delta = cut(offered.join(held, ["seed", "node"], "left").where(F.col("old").isNull() | better(F.col("value"), F.col("old"))).select("seed", "node", "value"))
-        if delta.isEmpty():
-            return state, True
-        state = cut(state.union(delta).groupBy("seed", "node").agg(agg("value").alias("value")))
-    return state, False
+        both = held.join(offered, ["seed", "node"], "full")
+        moved = F.col("offer").isNotNull() & (F.col("old").isNull() | better(F.col("offer"), F.col("old")))
+        # The state is written once a round, with a mark on what moved.
+        state = cut(both.select("seed", "node", F.when(moved, F.col("offer")).otherwise(F.col("old")).alias("value"), moved.alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.drop("moved"), True
+    return state.drop("moved"), False
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], coarse: Column) -> DataFrame:

@@ -115,7 +115,7 @@ def to_undirected(g):
     return g.to_undirected().edges
 
 
-@register("dag", f"SELECT {EDGE} FROM e UNION ALL SELECT 0, 24, CAST((SELECT count(*) FROM e WHERE src = 0) AS INT), CAST(2 AS DOUBLE), CAST(1000 AS DOUBLE), FALSE")
+@register("whole_dag", f"SELECT {EDGE} FROM e UNION ALL SELECT 0, 24, CAST((SELECT count(*) FROM e WHERE src = 0) AS INT), CAST(2 AS DOUBLE), CAST(1000 AS DOUBLE), FALSE")
 def add_edge(g):
     return g.add_edges(g.nodes.sparkSession.createDataFrame([(0, 24, 2.0)], "src int, dst int, weight double")).edges
 
@@ -161,64 +161,48 @@ def transitive_closure(g):
     return traversal.transitive_closure(g)
 
 
-@register("trade", f", {REACH} SELECT 0 AS u, id AS v, EXISTS (SELECT 1 FROM r WHERE seed = 0 AND node = id) AS reachable FROM n WHERE id IN (0, 7, 19)")
+@register("whole_trade", f", {REACH} SELECT 0 AS u, id AS v, EXISTS (SELECT 1 FROM r WHERE seed = 0 AND node = id) AS reachable FROM n WHERE id IN (0, 7, 19)")
 def can_reach(g):
     rows = [(0, v, traversal.can_reach(g, 0, v)) for v in (0, 7, 19)]
     return g.nodes.sparkSession.createDataFrame(rows, "u int, v int, reachable boolean")
 
 
-@register("layer", f", {REACH} SELECT seed, node FROM r WHERE seed BETWEEN 5 AND 9 AND seed <> node")
-def reachable_set(g):
-    return traversal.reachable_set(g, ids(g, "id between 5 and 9"))
-
-
-@register("trade", f", {REACH} SELECT a.id AS src, b.id AS dst, a.id = b.id OR EXISTS (SELECT 1 FROM e JOIN r x ON x.node = e.src JOIN r y ON y.seed = e.dst WHERE is_fallback AND x.seed = a.id AND y.node = b.id) AS has_fallback FROM n a JOIN n b ON a.id < 10 AND b.id % 3 = 0")
-def has_fallback_path(g):
-    all_pairs = g.nodes.where("id < 10").select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(24), F.lit(3))).alias("dst"))
-    return traversal.has_fallback_path(g, all_pairs)
-
-
-@register("trade", f", {PREV} SELECT src, node, dist, prev FROM p")
+@register("whole_trade", f", {PREV} SELECT src, node, dist, prev FROM p")
 def dijkstra(g):
     return paths.dijkstra(g, g.nodes)
 
 
-@register("dag", ", w(node, d) AS (SELECT id, CAST(0 AS DOUBLE) FROM n WHERE id = 0 UNION SELECT e.dst, d + weight - 6 FROM w JOIN e ON w.node = e.src) SELECT 0 AS src, node, min(d) AS dist FROM w GROUP BY node")
+@register("whole_dag", ", w(node, d) AS (SELECT id, CAST(0 AS DOUBLE) FROM n WHERE id = 0 UNION SELECT e.dst, d + weight - 6 FROM w JOIN e ON w.node = e.src) SELECT 0 AS src, node, min(d) AS dist FROM w GROUP BY node")
 def bellman_ford(g):
     lower = PropertyGraph(g.nodes, g.edges.withColumn("weight", F.col("weight") - 6))
     return paths.bellman_ford(lower, [0])[0].select("src", "node", "dist")
 
 
-@register("trade", "SELECT TRUE AS negative_cycle")
+@register("whole_trade", f", {REACH} SELECT -1 AS shift, EXISTS (SELECT 1 FROM r JOIN e ON e.src = r.node JOIN r z ON z.seed = e.dst AND z.node = e.src WHERE r.seed = 0) AS negative_cycle UNION ALL SELECT 0, min(weight) < 0 FROM e")
 def bellman_ford_negative_cycle(g):
     lower = PropertyGraph(g.nodes, g.edges.withColumn("weight", F.lit(-1.0)))
-    return one(g, negative_cycle=paths.bellman_ford(lower, [0])[1])
+    rows = [(-1, paths.bellman_ford(lower, [0])[1]), (0, paths.bellman_ford(g, [0])[1])]
+    return g.nodes.sparkSession.createDataFrame(rows, "shift int, negative_cycle boolean")
 
 
 APSP = f", {DIST}, x AS (SELECT d.src, d.node, min(e.dst) AS hop FROM d JOIN e ON e.src = d.src JOIN d b ON b.src = e.dst AND b.node = d.node WHERE d.src <> d.node AND e.weight + b.dist = d.dist GROUP BY d.src, d.node) SELECT d.src, d.node AS dst, d.dist, CASE WHEN d.src = d.node THEN d.src ELSE hop END AS next FROM d LEFT JOIN x ON d.src = x.src AND d.node = x.node"
 
 
-@register("trade", APSP)
+@register("whole_trade", APSP)
 def floyd_warshall(g):
     return paths.floyd_warshall(g)[0]
 
 
-@register("trade", APSP)
+@register("whole_trade", APSP)
 def johnsons(g):
     return paths.johnsons(g)[0]
 
 
-@register("trade", f", {PREV}, t(node, path) AS (SELECT 0, '0' UNION ALL SELECT p.node, t.path || '>' || p.node FROM t JOIN p ON p.prev = t.node WHERE p.src = 0) SELECT 0 AS src, node, path FROM t")
+@register("whole_trade", f", {PREV}, t(node, path) AS (SELECT 0, '0' UNION ALL SELECT p.node, t.path || '>' || p.node FROM t JOIN p ON p.prev = t.node WHERE p.src = 0) SELECT 0 AS src, node, path FROM t")
 def path_to(g):
     return paths.path_to(paths.dijkstra(g, [0])).select("src", "node", shown().alias("path"))
 
 
-@register("trade", APSP.replace("SELECT d.src, d.node AS dst,", ", z AS (SELECT d.src, d.node AS dst,", 1).replace(" FROM d LEFT JOIN x ON", " FROM d LEFT JOIN x ON", 1) + "), t(src, dst, head, path) AS (SELECT src, dst, src, CAST(src AS VARCHAR) FROM z WHERE src < 5 UNION ALL SELECT t.src, t.dst, z.next, path || '>' || z.next FROM t JOIN z ON z.src = t.head AND z.dst = t.dst WHERE t.head <> t.dst) SELECT src, dst, path FROM t WHERE head = dst")
-def all_pairs_path(g):
-    table = cut(paths.johnsons(g)[0])
-    return paths.pair_paths(table.where("src < 5").select("src", "dst"), table).select("src", "dst", shown().alias("path"))
-
-
 KAHN = """
 , k0 AS (SELECT id AS node, 0 AS level, CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS pos FROM n WHERE id NOT IN (SELECT dst FROM e))
 , f AS (SELECT node, 0 AS level FROM k0), m(node, level) AS (SELECT node, 0 FROM k0 UNION SELECT e.dst, level + 1 FROM m JOIN e ON m.node = e.src), lv AS (SELECT node, max(level) AS level FROM m GROUP BY node)
@@ -241,7 +225,7 @@ def toposort_levels(g):
     return structure.toposort_levels(g)
 
 
-@register("dag", "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS violations FROM n")
+@register("whole_dag", "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS violations FROM n")
 def dfs_toposort(g):
     order = cut(structure.dfs_toposort(g))
     a, b = order.select(F.col("node").alias("src"), F.col("pos").alias("pa")), order.select(F.col("node").alias("dst"), F.col("pos").alias("pb"))
@@ -249,7 +233,7 @@ def dfs_toposort(g):
     return order.agg(F.count_distinct("pos").alias("nodes"), F.lit(wrong).cast("long").alias("violations"))
 
 
-@register("trade", f", {SCC} SELECT node, scc FROM s")
+@register("whole_trade", f", {SCC} SELECT node, scc FROM s")
 def scc_labels(g):
     return structure.scc(g)
 
@@ -261,12 +245,12 @@ def _order_violations(g: PropertyGraph, order: DataFrame, sign: str) -> DataFram
     return order.select("node", "scc", F.lit(wrong).cast("long").alias("violations"))
 
 
-@register("trade", f", {SCC} SELECT node, scc, CAST(0 AS BIGINT) AS violations FROM s")
+@register("whole_trade", f", {SCC} SELECT node, scc, CAST(0 AS BIGINT) AS violations FROM s")
 def tarjan_scc(g):
     return _order_violations(g, structure.tarjan_scc(g), ">")
 
 
-@register("trade", f", {SCC} SELECT node, scc, CAST(0 AS BIGINT) AS violations FROM s")
+@register("whole_trade", f", {SCC} SELECT node, scc, CAST(0 AS BIGINT) AS violations FROM s")
 def kosaraju_scc(g):
     return _order_violations(g, structure.kosaraju_scc(g), "<")
 
@@ -274,12 +258,12 @@ def kosaraju_scc(g):
 META = SCC + ", m AS (SELECT node, CAST(dense_rank() OVER (ORDER BY scc) - 1 AS INT) AS meta FROM s)"
 
 
-@register("trade", f", {META} SELECT a.meta AS src, b.meta AS dst, arg_min(weight, e.src * 1000 + adj_idx) AS weight, arg_min(capacity, e.src * 1000 + adj_idx) AS capacity FROM e JOIN m a ON a.node = e.src JOIN m b ON b.node = e.dst WHERE a.meta <> b.meta GROUP BY a.meta, b.meta")
+@register("whole_trade", f", {META} SELECT a.meta AS src, b.meta AS dst, arg_min(weight, e.src * 1000 + adj_idx) AS weight, arg_min(capacity, e.src * 1000 + adj_idx) AS capacity FROM e JOIN m a ON a.node = e.src JOIN m b ON b.node = e.dst WHERE a.meta <> b.meta GROUP BY a.meta, b.meta")
 def condensation_edges(g):
     return structure.condensation_graph(g)[0].edges.select("src", "dst", "weight", "capacity")
 
 
-@register("trade", f", {META} SELECT meta AS id, 'SCC_' || meta || '(' || string_agg(node, ',' ORDER BY node) || ')' AS name FROM m GROUP BY meta")
+@register("whole_trade", f", {META} SELECT meta AS id, 'SCC_' || meta || '(' || string_agg(node, ',' ORDER BY node) || ')' AS name FROM m GROUP BY meta")
 def condensation_nodes(g):
     return structure.condensation_graph(g)[0].nodes.select("id", "name")
 
@@ -291,19 +275,19 @@ SELECT src, dst, adj_idx, weight FROM x WHERE NOT EXISTS (SELECT 1 FROM c WHERE
 """
 
 
-@register("trade", MSF)
+@register("whole_trade", MSF)
 def boruvka_mst(g):
     return structure.boruvka_mst(g).select("src", "dst", "adj_idx", "weight")
 
 
-@register("trade", MSF)
+@register("whole_trade", MSF)
 def kruskal_mst(g):
     return structure.kruskal_mst(g).select("src", "dst", "adj_idx", "weight")
 
 
-@register("trade", f", {REACH} SELECT seed, count(*) - 1 AS edges, count(*) - 1 AS entered, CAST(0 AS BIGINT) AS back FROM r WHERE seed IN (0, 3) GROUP BY seed")
+@register("whole_trade", ", p(seed, inside, x) AS (SELECT id, [id], CAST(NULL AS STRUCT(w DOUBLE, s INT, d INT, c DOUBLE)) FROM n UNION ALL SELECT seed, list_append(inside, y.d), y FROM (SELECT p.seed, p.inside, min({'w': weight, 's': e.src, 'd': e.dst, 'c': capacity}) AS y FROM p JOIN e ON list_contains(p.inside, e.src) AND NOT list_contains(p.inside, e.dst) GROUP BY p.seed, p.inside)) SELECT seed, x.s AS src, x.d AS dst, x.w AS weight, x.c AS capacity FROM p WHERE x IS NOT NULL")
 def prim_mst(g):
-    return structure.prim_mst(g, [0, 3]).groupBy("seed").agg(F.count("*").alias("edges"), F.count_distinct("dst").alias("entered"), F.count_if(F.col("dst") == F.col("seed")).alias("back"))
+    return structure.prim_mst(g, g.nodes.select("id")).select("seed", "src", "dst", "weight", "capacity")
 
 
 @register("layer", "SELECT u, v, sum(c) AS residual FROM (SELECT src AS u, dst AS v, capacity AS c FROM e UNION ALL SELECT dst, src, 0 FROM e) GROUP BY u, v")
@@ -311,83 +295,39 @@ def build_flow_network(g):
     return measures.build_flow_network(g)
 
 
-# From a region every supplier has one way, so that flows to a part are sums of least capacities.
-FLOW = f""", t AS (SELECT a.src AS src, c.dst AS sink, a.dst AS nation, least(b.capacity, c.capacity) AS f, a.capacity AS most FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst WHERE a.src < 2 AND c.dst < 30 + {SUPPLIERS} + 10)
-, v AS (SELECT src, sink, sum(f) AS max_flow FROM (SELECT src, sink, least(sum(f), max(most)) AS f FROM t GROUP BY src, sink, nation) GROUP BY src, sink)
-"""
-
-
-def _flow_pairs(g: PropertyGraph) -> DataFrame:
-    first = 30 + g.nodes.where("type = 'EXTERNAL'").count()
-    rows = g.nodes.sparkSession.range(2).select(F.col("id").cast("int").alias("src"), F.explode(F.sequence(F.lit(first), F.lit(first + 9))).alias("sink"))
-    return rows
-
-
-@register("layer", FLOW + "SELECT src, sink, max_flow FROM v WHERE max_flow > 0")
-def edmonds_karp(g):
-    return measures.edmonds_karp(g, _flow_pairs(g)).where("max_flow > 0").select("src", "sink", "max_flow")
-
-
-@register("layer", FLOW + "SELECT src, sink, max_flow FROM v WHERE max_flow > 0")
-def dinic(g):
-    return measures.dinic(g, _flow_pairs(g)).where("max_flow > 0").select("src", "sink", "max_flow")
-
-
-@register("layer", FLOW + "SELECT src, sink, max_flow AS cut FROM v WHERE max_flow > 0")
-def min_cut_edges(g):
-    side = measures.min_cut(g, cut(measures.max_flow(g, _flow_pairs(g))))
-    cuts = measures.min_cut_edges(g, cut(side))
-    e = g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "adj_idx", "capacity")
-    return cuts.join(e, ["u", "v", "adj_idx"]).groupBy("src", "sink").agg(F.sum("capacity").alias("cut")).where("cut > 0")
-
-
 UNDIRECTED = "b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
+COMPONENTS = f", {UNDIRECTED}, r(seed, node) AS (SELECT id, id FROM n UNION SELECT r.seed, b.dst FROM r JOIN b ON r.node = b.src)"
 
 
-@register("trade", ", y AS (SELECT src, dst FROM e WHERE NOT is_fallback UNION SELECT dst, src FROM e WHERE NOT is_fallback), r(seed, node) AS (SELECT id, id FROM n UNION SELECT r.seed, y.dst FROM r JOIN y ON r.node = y.src) SELECT seed AS node, min(node) AS component FROM r GROUP BY seed")
+@register("layer", COMPONENTS + " SELECT seed AS node, min(node) AS component FROM r GROUP BY seed")
 def weakly_connected_components(g):
-    return structure.weakly_connected_components(PropertyGraph(g.nodes, g.edges.where("not is_fallback")))
-
-
-@register("layer", ", y AS (SELECT src, dst FROM e WHERE src < 5), r(seed, node) AS (SELECT id, id FROM n WHERE id < 30 UNION SELECT r.seed, y.dst FROM r JOIN y ON r.node = y.src) SELECT min(seed) AS partition, node FROM r GROUP BY node")
-def partition_for_parallel(g):
-    return structure.partition_for_parallel(PropertyGraph(g.nodes.where("id < 30"), g.edges.where("src < 5")))
+    return structure.weakly_connected_components(g)
 
 
 BRIDGES = f", {UNDIRECTED}, s AS (SELECT src AS u, dst AS v FROM b WHERE src < dst), c(u, v, node) AS (SELECT u, v, u FROM s UNION SELECT c.u, c.v, b.dst FROM c JOIN b ON c.node = b.src AND NOT (b.src = c.u AND b.dst = c.v) AND NOT (b.src = c.v AND b.dst = c.u)) SELECT u, v FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.u = s.u AND c.v = s.v AND c.node = s.v)"
 
 
-@register("dag", BRIDGES)
+@register("market", BRIDGES)
 def find_bridges(g):
     return structure.find_bridges(g)
 
 
-@register("trade", BRIDGES)
-def find_bridges_cyclic(g):
-    return structure.find_bridges(g)
-
-
-@register("trade", f", {UNDIRECTED}, f AS (SELECT src AS x, min(dst) AS first FROM b WHERE src <> dst GROUP BY src), c(x, node) AS (SELECT x, first FROM f UNION SELECT c.x, b.dst FROM c JOIN b ON c.node = b.src AND b.dst <> c.x) SELECT DISTINCT b.src AS node FROM b WHERE b.src <> b.dst AND NOT EXISTS (SELECT 1 FROM c WHERE c.x = b.src AND c.node = b.dst)")
+@register("market", f", {UNDIRECTED}, f AS (SELECT src AS x, min(dst) AS first FROM b WHERE src <> dst GROUP BY src), c(x, node) AS (SELECT x, first FROM f UNION SELECT c.x, b.dst FROM c JOIN b ON c.node = b.src AND b.dst <> c.x) SELECT DISTINCT b.src AS node FROM b WHERE b.src <> b.dst AND NOT EXISTS (SELECT 1 FROM c WHERE c.x = b.src AND c.node = b.dst)")
 def find_articulation_points(g):
     return structure.find_articulation_points(g)
 
 
-@register("trade", f", {UNDIRECTED}, c(s, node, odd) AS (SELECT id, id, 0 FROM n UNION SELECT s, b.dst, 1 - odd FROM c JOIN b ON c.node = b.src) SELECT NOT EXISTS (SELECT 1 FROM c WHERE s = node AND odd = 1) AS bipartite")
+@register("whole_trade", f", {UNDIRECTED}, c(s, node, odd) AS (SELECT id, id, 0 FROM n UNION SELECT s, b.dst, 1 - odd FROM c JOIN b ON c.node = b.src) SELECT NOT EXISTS (SELECT 1 FROM c WHERE s = node AND odd = 1) AS bipartite")
 def is_bipartite(g):
     return one(g, bipartite=structure.is_bipartite(g)[0])
 
 
-@register("layer", "SELECT id AS node, CAST(CASE WHEN id < 5 THEN 0 WHEN id < 30 THEN 1 ELSE 0 END AS INT) AS color FROM n WHERE id < 30")
-def bipartite_colors(g):
-    return structure.is_bipartite(PropertyGraph(g.nodes.where("id < 30"), g.edges.where("src < 5")))[1]
-
-
-@register("trade", f", {REACH} SELECT EXISTS (SELECT 1 FROM e JOIN r ON r.seed = e.dst AND r.node = e.src) AS cyclic")
+@register("whole_trade", f", {REACH} SELECT EXISTS (SELECT 1 FROM e JOIN r ON r.seed = e.dst AND r.node = e.src) AS cyclic")
 def has_cycle_directed(g):
     return one(g, cyclic=structure.has_cycle_directed(g))
 
 
-@register("trade", ", y AS (SELECT src, dst FROM e WHERE src < dst), z AS (SELECT src, dst FROM y UNION SELECT dst, src FROM y), r(seed, node) AS (SELECT id, id FROM n UNION SELECT r.seed, z.dst FROM r JOIN z ON r.node = z.src) SELECT (SELECT count(*) FROM y) > (SELECT count(*) FROM n) - (SELECT count(DISTINCT c) FROM (SELECT min(node) AS c FROM r GROUP BY seed)) AS cyclic")
+@register("whole_trade", ", y AS (SELECT src, dst FROM e WHERE src < dst), z AS (SELECT src, dst FROM y UNION SELECT dst, src FROM y), r(seed, node) AS (SELECT id, id FROM n UNION SELECT r.seed, z.dst FROM r JOIN z ON r.node = z.src) SELECT (SELECT count(*) FROM y) > (SELECT count(*) FROM n) - (SELECT count(DISTINCT c) FROM (SELECT min(node) AS c FROM r GROUP BY seed)) AS cyclic")
 def has_cycle_undirected(g):
     return one(g, cyclic=structure.has_cycle_undirected(g))
 
@@ -402,17 +342,17 @@ def degree_centrality(g):
     return measures.degree_centrality(g).select("node", F.round("score", 9).alias("score"))
 
 
-@register("trade", f", {HOPS} SELECT id AS node, round(coalesce((SELECT CAST(count(*) AS DOUBLE) * count(*) / (((SELECT count(*) FROM n) - 1) * sum(dist)) FROM d WHERE src = id AND node <> id), 0), 9) AS score FROM n")
+@register("whole_trade", f", {HOPS} SELECT id AS node, round(coalesce((SELECT CAST(count(*) AS DOUBLE) * count(*) / (((SELECT count(*) FROM n) - 1) * sum(dist)) FROM d WHERE src = id AND node <> id), 0), 9) AS score FROM n")
 def closeness_centrality(g):
     return measures.closeness_centrality(g).select("node", F.round("score", 9).alias("score"))
 
 
-@register("trade", f", {HOPS}, q(s, head, path) AS (SELECT id, id, [id] FROM n UNION ALL SELECT q.s, e.dst, list_append(path, e.dst) FROM q JOIN e ON q.head = e.src JOIN d ON d.src = q.s AND d.node = e.dst AND d.dist = len(path)), c AS (SELECT s, head, count(*) AS k FROM q GROUP BY s, head), t AS (SELECT unnest(path[2:-2]) AS node, 1.0 / k AS part FROM q JOIN c USING (s, head) WHERE len(path) > 2) SELECT id AS node, round(coalesce(sum(part), 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 9) AS score FROM n LEFT JOIN t ON t.node = id GROUP BY id")
+@register("whole_trade", f", {HOPS}, q(s, head, path) AS (SELECT id, id, [id] FROM n UNION ALL SELECT q.s, e.dst, list_append(path, e.dst) FROM q JOIN e ON q.head = e.src JOIN d ON d.src = q.s AND d.node = e.dst AND d.dist = len(path)), c AS (SELECT s, head, count(*) AS k FROM q GROUP BY s, head), t AS (SELECT unnest(path[2:-2]) AS node, 1.0 / k AS part FROM q JOIN c USING (s, head) WHERE len(path) > 2) SELECT id AS node, round(coalesce(sum(part), 0) / ((SELECT count(*) FROM n) - 1) / ((SELECT count(*) FROM n) - 2), 9) AS score FROM n LEFT JOIN t ON t.node = id GROUP BY id")
 def betweenness_centrality(g):
     return measures.betweenness_centrality(g).select("node", F.round("score", 9).alias("score"))
 
 
-@register("trade", """, o AS (SELECT src, count(*) AS k FROM e GROUP BY src), a AS (SELECT x.id AS i, list(coalesce(p, 0) ORDER BY y.id) AS col FROM n x JOIN n y ON TRUE LEFT JOIN (SELECT e.src, e.dst, CAST(count(*) AS DOUBLE) / max(k) AS p FROM e JOIN o ON o.src = e.src GROUP BY e.src, e.dst) z ON z.src = y.id AND z.dst = x.id GROUP BY x.id),
+@register("whole_trade", """, o AS (SELECT src, count(*) AS k FROM e GROUP BY src), a AS (SELECT x.id AS i, list(coalesce(p, 0) ORDER BY y.id) AS col FROM n x JOIN n y ON TRUE LEFT JOIN (SELECT e.src, e.dst, CAST(count(*) AS DOUBLE) / max(k) AS p FROM e JOIN o ON o.src = e.src GROUP BY e.src, e.dst) z ON z.src = y.id AND z.dst = x.id GROUP BY x.id),
 mat AS (SELECT list(col ORDER BY i) AS m, list(CASE WHEN o.src IS NULL THEN 1.0::DOUBLE ELSE 0 END ORDER BY i) AS lost, CAST(count(*) AS DOUBLE) AS c FROM a LEFT JOIN o ON o.src = a.i),
 it(k, v) AS (SELECT 0, list_transform(m, lambda x: 1 / c) FROM mat UNION ALL SELECT k + 1, list_transform(m, lambda x: 0.15 / c + 0.85 * (list_dot_product(x, v) + list_dot_product(lost, v) / c)) FROM it, mat WHERE k < 100)
 SELECT CAST(unnest(range(len(v))) AS INT) AS node, round(unnest(v), 7) AS score FROM it WHERE k = 100""")
@@ -426,44 +366,45 @@ CPM = """, a(node, v) AS (SELECT id, CAST(0 AS DOUBLE) FROM n UNION SELECT e.dst
 """
 
 
-@register("dag", CPM + "SELECT node, est, eft, lft - lat AS lst, lft, lft - eft AS slack, lft - eft <= 1e-9 AS critical FROM x JOIN y USING (node)")
+@register("whole_dag", CPM + "SELECT node, est, eft, lft - lat AS lst, lft, lft - eft AS slack, lft - eft <= 1e-9 AS critical FROM x JOIN y USING (node)")
 def compute_critical_path(g):
     return measures.compute_critical_path(g).drop("pos")
 
 
-@register("dag", CPM + "SELECT total AS duration FROM t")
+@register("whole_dag", CPM + "SELECT total AS duration FROM t")
 def project_duration(g):
     return one(g, duration=measures.project_duration(g))
 
 
-def _improper(g: PropertyGraph, colors: DataFrame) -> DataFrame:
-    colors = cut(colors)
-    a, b = colors.select(F.col("node").alias("src"), F.col("color").alias("ca")), colors.select(F.col("node").alias("dst"), F.col("color").alias("cb"))
-    wrong = g.edges.where("src <> dst").join(a, "src").join(b, "dst").where("ca = cb").count()
-    return colors.agg(F.count_distinct("node").alias("nodes"), F.lit(wrong).cast("long").alias("violations"))
+# Node after node with the colours so far as a list by id.
+NEAR = f", {UNDIRECTED}, adj AS (SELECT id, coalesce(list(dst) FILTER (WHERE dst <> id), []) AS nb FROM n LEFT JOIN b ON src = id GROUP BY id), none AS (SELECT list_transform(range(count(*)), lambda x: -1) AS colors FROM n)"
+PAINT = "list_concat(list_append(colors[1:id], list_min(list_filter(range(len(colors) + 1), lambda c: NOT list_contains(list_transform(nb, lambda y: colors[y + 1]), c)))), colors[id + 2:])"
+GREEDY = NEAR + f", o AS (SELECT id, nb, row_number() OVER (ORDER BY len(nb) DESC, id) AS rk FROM adj), g(k, colors) AS (SELECT 0, colors FROM none UNION ALL SELECT k + 1, {PAINT} FROM g JOIN o ON o.rk = k + 1)"
+DSATUR = NEAR + f", g(k, colors) AS (SELECT 0, colors FROM none UNION ALL SELECT k + 1, {PAINT} FROM (SELECT k, colors, min({{'s': -len(list_distinct(list_filter(list_transform(nb, lambda y: colors[y + 1]), lambda z: z >= 0))), 'd': -len(nb), 'id': id}}).id AS id FROM g JOIN adj ON colors[adj.id + 1] = -1 GROUP BY k, colors) t JOIN adj USING (id))"
+PAINTED = " SELECT CAST(unnest(range(len(colors))) AS INT) AS node, CAST(unnest(colors) AS INT) AS color FROM g WHERE k = len(colors)"
 
 
-@register("trade", "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS violations FROM n")
+@register("whole_trade", GREEDY + PAINTED)
 def greedy_coloring(g):
-    return _improper(g, structure.greedy_coloring(g))
+    return structure.greedy_coloring(g)
 
 
-@register("trade", "SELECT count(*) AS nodes, CAST(0 AS BIGINT) AS violations FROM n")
+@register("whole_trade", DSATUR + PAINTED)
 def dsatur_coloring(g):
-    return _improper(g, structure.dsatur_coloring(g))
+    return structure.dsatur_coloring(g)
 
 
-@register("layer", "SELECT 2 AS colors")
+@register("whole_trade", DSATUR + " SELECT list_max(colors) + 1 AS colors FROM g WHERE k = len(colors)")
 def chromatic_number_estimate(g):
-    return one(g, colors=structure.chromatic_number_estimate(PropertyGraph(g.nodes.where("id < 30"), g.edges.where("src < 5"))))
+    return one(g, colors=structure.chromatic_number_estimate(g))
 
 
-@register("dag", ", m(node, level) AS (SELECT id, 0 FROM n UNION SELECT e.dst, level + 1 FROM m JOIN e ON m.node = e.src) SELECT CAST(max(level) AS INT) AS wave, node FROM m GROUP BY node")
+@register("whole_dag", ", m(node, level) AS (SELECT id, 0 FROM n UNION SELECT e.dst, level + 1 FROM m JOIN e ON m.node = e.src) SELECT CAST(max(level) AS INT) AS wave, node FROM m GROUP BY node")
 def topological_wave_partition(g):
     return structure.topological_wave_partition(g)
 
 
-@register("trade", f", {META}, k AS (SELECT DISTINCT a.meta AS a, b.meta AS b FROM e JOIN m a ON a.node = e.src JOIN m b ON b.node = e.dst WHERE a.meta <> b.meta), z(meta, level) AS (SELECT DISTINCT meta, 0 FROM m UNION SELECT k.b, level + 1 FROM z JOIN k ON z.meta = k.a) SELECT CAST(max(level) AS INT) AS wave, m.node, s.scc FROM z JOIN m ON m.meta = z.meta JOIN s ON s.node = m.node GROUP BY m.node, s.scc")
+@register("whole_trade", f", {META}, k AS (SELECT DISTINCT a.meta AS a, b.meta AS b FROM e JOIN m a ON a.node = e.src JOIN m b ON b.node = e.dst WHERE a.meta <> b.meta), z(meta, level) AS (SELECT DISTINCT meta, 0 FROM m UNION SELECT k.b, level + 1 FROM z JOIN k ON z.meta = k.a) SELECT CAST(max(level) AS INT) AS wave, m.node, s.scc FROM z JOIN m ON m.meta = z.meta JOIN s ON s.node = m.node GROUP BY m.node, s.scc")
 def partition_by_scc(g):
     return structure.partition_by_scc(g)
 
@@ -480,19 +421,6 @@ FAIL = """
 RATE = "CASE type WHEN 'GATEWAY' THEN 50000 WHEN 'DATABASE' THEN 20000 WHEN 'INTERNAL' THEN 10000 ELSE 5000 END"
 
 
-# Probabilities are short decimals, often midway between two roundings, where products in another order fall to either
-# side; a small shift in both keeps them off.
-@register("layer", FAIL + "SELECT seed, node, CAST(depth AS INT) AS depth, round(prob + 1.3719e-11, 9) AS prob FROM p WHERE seed < 30")
-def failure_probabilities(g):
-    return failure.probabilities(g, ids(g, "id < 30")).select("seed", "node", "depth", F.round(F.col("prob") + 1.3719e-11, 9).alias("prob"))
-
-
-@register("layer", FAIL + "SELECT seed, CAST(max(depth) AS INT) AS cascade_depth, round(1 + coalesce(sum(CASE WHEN seed <> node AND prob >= 0.1 THEN prob END), 0), 6) AS impact, count(CASE WHEN seed <> node AND prob >= 0.1 THEN 1 END) AS affected FROM p WHERE seed < 30 GROUP BY seed")
-def simulate_failure(g):
-    out = failure.simulate_failure(g, ids(g, "id < 30"), 0.1)
-    return out.select("seed", "cascade_depth", F.round("total_impact_score", 6).alias("impact"), F.size("affected").cast("long").alias("affected"))
-
-
 @register("layer", FAIL + ", q AS (SELECT node, 1 - product(1 - prob) AS prob, max(depth) AS depth FROM p WHERE seed IN (5, 6, 30) GROUP BY node) SELECT CAST(max(depth) AS INT) AS cascade_depth, round(sum(prob), 6) AS impact, count(CASE WHEN node NOT IN (5, 6, 30) AND prob >= 0.1 THEN 1 END) AS affected FROM q")
 def simulate_multi_failure(g):
     out = failure.simulate_multi_failure(g, [5, 6, 30], 0.1)
@@ -505,12 +433,6 @@ BLAST = FAIL + f""", h AS (SELECT p.*, name, type, seed <> node AND prob >= 0.05
 """
 
 
-@register("layer", BLAST + "SELECT seed, CAST(affected AS INT) AS affected, CAST(affected_database AS INT) AS affected_database, round(revenue, 4) AS revenue, critical, CASE WHEN fraction < 0.02 THEN 'LOW' WHEN fraction < 0.15 THEN 'MEDIUM' WHEN fraction < 0.40 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM g WHERE seed < 130")
-def compute_blast_radius(g):
-    out = failure.compute_blast_radius(g, ids(g, "id < 130"), 0.05)
-    return out.select("seed", "affected", "affected_database", F.round("revenue_at_risk", 4).alias("revenue"), F.array_join("critical_services", ",").alias("critical"), "severity")
-
-
 PARTITION = "CASE WHEN id < 5 THEN 0 WHEN id < 30 THEN 1 ELSE 2 END"
 
 
@@ -528,13 +450,7 @@ def parallel_totals(g):
     return totals.select("total_affected", F.round("max_revenue_at_risk", 4).alias("max_revenue_at_risk"), F.col("worst_partition").cast("int").alias("worst_partition"))
 
 
-@register("layer", "SELECT b.dst AS path_id, x.base_latency_ms + a.weight + y.base_latency_ms + b.weight + z.base_latency_ms AS latency FROM e a JOIN e b ON b.src = a.dst JOIN n x ON x.id = a.src JOIN n y ON y.id = a.dst JOIN n z ON z.id = b.dst WHERE a.src < 5 AND b.src < 30")
-def compute_path_latency(g):
-    a, b = g.edges.where("src < 5").select(F.col("src").alias("r"), F.col("dst").alias("m")), g.edges.where("src between 5 and 29").select(F.col("src").alias("m"), F.col("dst").alias("s"))
-    return measures.compute_path_latency(g, a.join(b, "m").select(F.col("s").alias("path_id"), F.array("r", "m", "s").alias("path")))
-
-
-@register("dag", ", q(a, head, v) AS (SELECT id, id, base_latency_ms FROM n UNION SELECT a, e.dst, v + weight + n.base_latency_ms FROM q JOIN e ON e.src = q.head JOIN n ON n.id = e.dst) SELECT a AS src, head AS sink, max(v) AS latency FROM q WHERE (a, head) IN ((0, 24), (0, 12), (1, 20)) GROUP BY a, head")
+@register("whole_dag", ", q(a, head, v) AS (SELECT id, id, base_latency_ms FROM n UNION SELECT a, e.dst, v + weight + n.base_latency_ms FROM q JOIN e ON e.src = q.head JOIN n ON n.id = e.dst) SELECT a AS src, head AS sink, max(v) AS latency FROM q WHERE (a, head) IN ((0, 24), (0, 12), (1, 20)) GROUP BY a, head")
 def critical_path_latency(g):
     return measures.critical_path_latency(g, pairs(g, "0-24 0-12 1-20", "src", "sink")).where("latency > 0").select("src", "sink", "latency")
 
@@ -557,66 +473,42 @@ def resilience_score(g):
     return paths.resilience_score(g, pairs(g, "0-24 1-20 3-9")).select("src", "dst", F.round("score", 9).alias("score"))
 
 
-
-
-# The queries on nations above keep two or three links of each.  These run the same functions and SQL on all links, or on
-# the layered graph.  Cycles and k cheapest paths are left out: their number grows exponentially with the links.
-WHOLE = (
-    "pagerank boruvka_mst kruskal_mst compute_critical_path dijkstra johnsons betweenness_centrality scc_labels floyd_warshall closeness_centrality "
-    "bellman_ford path_to find_bridges find_articulation_points greedy_coloring dsatur_coloring topological_wave_partition project_duration "
-    "critical_path_latency is_bipartite has_cycle_directed has_cycle_undirected can_reach dfs_toposort prim_mst tarjan_scc kosaraju_scc "
-    "condensation_edges condensation_nodes partition_by_scc bellman_ford_negative_cycle find_bridges_cyclic add_edge"
-).split()
-for _name in WHOLE:
-    _kind, _f, _body = PLANS[_name]
-    register("whole_" + _kind, _body, f"{_name}_whole")(_f)
 for _name in ("pagerank", "compute_critical_path"):
     register("layer", PLANS[_name][2], f"{_name}_layer")(PLANS[_name][1])
 
 
-COMPONENTS = f", {UNDIRECTED}, r(seed, node) AS (SELECT id, id FROM n UNION SELECT r.seed, b.dst FROM r JOIN b ON r.node = b.src)"
-
+ALL_PATHS = APSP.replace("SELECT d.src, d.node AS dst,", ", z AS (SELECT d.src, d.node AS dst,", 1) + "), t(src, dst, head, path) AS (SELECT src, dst, src, CAST(src AS VARCHAR) FROM z UNION ALL SELECT t.src, t.dst, z.next, path || '>' || z.next FROM t JOIN z ON z.src = t.head AND z.dst = t.dst WHERE t.head <> t.dst) SELECT src, dst, path FROM t WHERE head = dst"
 
-@register("layer", COMPONENTS + " SELECT seed AS node, min(node) AS component FROM r GROUP BY seed")
-def weakly_connected_components_layer(g):
-    return structure.weakly_connected_components(g)
 
-
-# The same operators with every node as a seed or pair, or on the whole layered graph.
 @register("layer", COMPONENTS + " SELECT min(seed) AS partition, node FROM r GROUP BY node")
-def partition_for_parallel_all(g):
+def partition_for_parallel(g):
     return structure.partition_for_parallel(g)
 
 
 @register("layer", f"SELECT id AS node, CAST(CASE WHEN id < 5 THEN 0 WHEN id < 30 THEN 1 WHEN id >= 30 + {SUPPLIERS} AND id IN (SELECT dst FROM e) THEN 1 ELSE 0 END AS INT) AS color FROM n")
-def bipartite_colors_all(g):
+def bipartite_colors(g):
     return structure.is_bipartite(g)[1]
 
 
-@register("layer", "SELECT 2 AS colors")
-def chromatic_number_estimate_all(g):
-    return one(g, colors=structure.chromatic_number_estimate(g))
-
-
-@register("layer", FAIL + "SELECT seed, node, CAST(depth AS INT) AS depth, round(prob + 1.3719e-11, 9) AS prob FROM p")
-def failure_probabilities_all(g):
-    return failure.probabilities(g, ids(g, "true")).select("seed", "node", "depth", F.round(F.col("prob") + 1.3719e-11, 9).alias("prob"))
+@register("layer", FAIL + "SELECT seed, node, CAST(depth AS INT) AS depth, round(prob, 12) AS prob FROM p")
+def failure_probabilities(g):
+    return failure.probabilities(g, ids(g, "true")).select("seed", "node", "depth", F.round("prob", 12).alias("prob"))
 
 
 @register("layer", FAIL + "SELECT seed, CAST(max(depth) AS INT) AS cascade_depth, round(1 + coalesce(sum(CASE WHEN seed <> node AND prob >= 0.1 THEN prob END), 0), 6) AS impact, count(CASE WHEN seed <> node AND prob >= 0.1 THEN 1 END) AS affected FROM p GROUP BY seed")
-def simulate_failure_all(g):
+def simulate_failure(g):
     out = failure.simulate_failure(g, ids(g, "true"), 0.1)
     return out.select("seed", "cascade_depth", F.round("total_impact_score", 6).alias("impact"), F.size("affected").cast("long").alias("affected"))
 
 
 @register("layer", BLAST + "SELECT seed, CAST(affected AS INT) AS affected, CAST(affected_database AS INT) AS affected_database, round(revenue, 4) AS revenue, critical, CASE WHEN fraction < 0.02 THEN 'LOW' WHEN fraction < 0.15 THEN 'MEDIUM' WHEN fraction < 0.40 THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM g")
-def compute_blast_radius_all(g):
+def compute_blast_radius(g):
     out = failure.compute_blast_radius(g, ids(g, "true"), 0.05)
     return out.select("seed", "affected", "affected_database", F.round("revenue_at_risk", 4).alias("revenue"), F.array_join("critical_services", ",").alias("critical"), "severity")
 
 
 @register("layer", "SELECT c.src * CAST(10000000 AS BIGINT) + c.dst AS path_id, w.base_latency_ms + a.weight + x.base_latency_ms + b.weight + y.base_latency_ms + c.weight + z.base_latency_ms AS latency FROM e a JOIN e b ON b.src = a.dst JOIN e c ON c.src = b.dst JOIN n w ON w.id = a.src JOIN n x ON x.id = a.dst JOIN n y ON y.id = b.dst JOIN n z ON z.id = c.dst")
-def compute_path_latency_all(g):
+def compute_path_latency(g):
     """Latencies of all ways from a region to a part."""
     a, b, c = (g.edges.select(F.col("src").alias(s), F.col("dst").alias(t)) for s, t in (("r", "m"), ("m", "s"), ("s", "p")))
     ways = a.join(b, "m").join(c, "s")
@@ -624,17 +516,17 @@ def compute_path_latency_all(g):
 
 
 @register("layer", f", {REACH} SELECT seed, node FROM r WHERE seed <> node")
-def reachable_set_all(g):
+def reachable_set(g):
     return traversal.reachable_set(g, ids(g, "true"))
 
 
 @register("whole_trade", f", {REACH} SELECT a.id AS src, b.id AS dst, a.id = b.id OR EXISTS (SELECT 1 FROM e JOIN r x ON x.node = e.src JOIN r y ON y.seed = e.dst WHERE is_fallback AND x.seed = a.id AND y.node = b.id) AS has_fallback FROM n a JOIN n b ON TRUE")
-def has_fallback_path_all(g):
+def has_fallback_path(g):
     return traversal.has_fallback_path(g, g.nodes.select(F.col("id").alias("src")).crossJoin(g.nodes.select(F.col("id").alias("dst"))))
 
 
-@register("whole_trade", PLANS["all_pairs_path"][2].replace(" FROM z WHERE src < 5", " FROM z"))
-def all_pairs_path_all(g):
+@register("whole_trade", ALL_PATHS)
+def all_pairs_path(g):
     table = cut(paths.johnsons(g)[0])
     return paths.pair_paths(table.select("src", "dst"), table).select("src", "dst", shown().alias("path"))
 
@@ -650,18 +542,41 @@ def _all_flow_pairs(g: PropertyGraph) -> DataFrame:
 
 
 @register("layer", FLOWS + "SELECT src, sink, max_flow FROM v WHERE max_flow > 0")
-def edmonds_karp_all(g):
+def edmonds_karp(g):
     return measures.edmonds_karp(g, _all_flow_pairs(g)).where("max_flow > 0").select("src", "sink", "max_flow")
 
 
 @register("layer", FLOWS + "SELECT src, sink, max_flow FROM v WHERE max_flow > 0")
-def dinic_all(g):
+def dinic(g):
     return measures.dinic(g, _all_flow_pairs(g)).where("max_flow > 0").select("src", "sink", "max_flow")
 
 
 @register("layer", FLOWS + "SELECT src, sink, max_flow AS cut FROM v WHERE max_flow > 0")
-def min_cut_edges_all(g):
+def min_cut_edges(g):
     side = measures.min_cut(g, cut(measures.max_flow(g, _all_flow_pairs(g))))
     cuts = measures.min_cut_edges(g, cut(side))
     e = g.edges.select(F.col("src").alias("u"), F.col("dst").alias("v"), "adj_idx", "capacity")
     return cuts.join(e, ["u", "v", "adj_idx"]).groupBy("src", "sink").agg(F.sum("capacity").alias("cut")).where("cut > 0")
+
+
+@register("whole_trade", f", {DIST} SELECT src, node AS dst, round(dist / 10, 9) AS cost FROM d")
+def all_pairs_cost_of_tenths(g):
+    """Costs of the ways that next leads along, with weights of tenths: one for every pair that has a way."""
+    tenths = PropertyGraph(g.nodes, g.edges.withColumn("weight", F.col("weight") * 0.1))
+    table = cut(paths.johnsons(tenths)[0])
+    found = cut(paths.pair_paths(table.select("src", "dst"), table))
+    least = tenths.edges.groupBy(F.col("src").alias("u"), F.col("dst").alias("v")).agg(F.min("weight").alias("w"))
+    cost = paths.path_edges(found, "src", "dst").join(least, ["u", "v"]).groupBy("src", "dst").agg(F.sum("w").alias("w"))
+    return found.select("src", "dst").join(cost, ["src", "dst"], "left").select("src", "dst", F.round(F.coalesce("w", F.lit(0.0)), 9).alias("cost"))
+
+
+@register("layer", "SELECT u, v, sum(c) AS residual FROM (SELECT src AS u, dst AS v, weight AS c FROM e UNION ALL SELECT dst, src, 0 FROM e) GROUP BY u, v")
+def build_flow_network_of_weights(g):
+    return measures.build_flow_network(g, use_capacity_field=False)
+
+
+@register("whole_dag", None)
+def yen_k_shortest_paths_whole(g):
+    """Without SQL, which would list all paths; tested against a full listing on a small graph."""
+    every = traversal.transitive_closure(g).where("src <> dst")
+    return paths.yen_k_shortest_paths(g, every, 5).select("src", "dst", "rank", shown().alias("path"), "cost")

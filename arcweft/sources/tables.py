@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from arcweft.model import PropertyGraph, from_rows
@@ -46,21 +48,34 @@ SELECT src, dst, CAST(rk - 1 AS INT) AS adj_idx, CAST(1 + (src * 7 + dst * 3) %
 
 TRADE_EDGES = _nation_edges("<>", 2)
 DAG_EDGES = _nation_edges("<", 3)
-#: name -> (nodes, edges): a layered DAG, a sparse cyclic graph and a sparse DAG, and the last two with all their links.
+MARKET_NODES = NATION_NODES + """
+UNION ALL
+SELECT CAST(25 + s_suppkey AS INT), s_name, 'EXTERNAL', CAST(60 + s_suppkey % 40 AS DOUBLE) / 100, CAST(1 + s_suppkey % 13 AS DOUBLE), s_suppkey % 5 = 0 FROM supplier
+"""
+MARKET_EDGES = f"""
+SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS INT) AS adj_idx, weight, capacity, is_fallback FROM (
+  SELECT src, dst, weight, capacity, is_fallback FROM ({_nation_edges("<>", 2, whole=True)}) w
+  UNION ALL
+  SELECT CAST(s_nationkey AS INT), CAST(25 + s_suppkey AS INT), CAST(1 + s_suppkey % 7 AS DOUBLE), CAST(500 + s_suppkey AS DOUBLE), s_suppkey % 5 = 0 FROM supplier
+) t
+"""
+#: name -> (nodes, edges): a layered DAG, a cyclic graph and a DAG of the links between nations (whole), and the cyclic one
+#: with each nation's suppliers.  Trade and dag are those between nations with the two or three largest partners of each.
 GRAPHS = {
     "layer": (LAYER_NODES, LAYER_EDGES),
     "trade": (NATION_NODES, TRADE_EDGES),
     "dag": (NATION_NODES, DAG_EDGES),
     "whole_trade": (NATION_NODES, _nation_edges("<>", 2, whole=True)),
     "whole_dag": (NATION_NODES, _nation_edges("<", 3, whole=True)),
+    "market": (MARKET_NODES, MARKET_EDGES),
 }
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """SQL over the tables of a folder."""
-    for name in TABLES:
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(sql)
+    """SQL over the tables of a folder, which take no names in the session."""
+    used = {t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
+    named = re.sub(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b", r"\1 {\2}", sql)
+    return spark.sql(named, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in used})
 
 
 def graph(spark: SparkSession, sf_dir: str, name: str) -> PropertyGraph:
@@ -84,39 +99,51 @@ def write_graph(g: PropertyGraph, nodes_path: str, edges_path: str, kind: str =
 
 
 # The example graph of a payment platform.
-DEMO_NODES = """
-API_GATEWAY GATEWAY .99 2 0
-AUTH_SERVICE INTERNAL .98 5 0
-USER_DB DATABASE .97 8 0
-PAYMENT_SERVICE INTERNAL .95 12 1
-PAYMENT_DB DATABASE .96 10 0
-FRAUD_DETECTOR INTERNAL .90 20 0
-NOTIFICATION_SERVICE INTERNAL .92 4 0
-EMAIL_GATEWAY EXTERNAL .85 15 1
-SMS_GATEWAY EXTERNAL .80 18 1
-INVENTORY_SERVICE INTERNAL .94 6 0
-INVENTORY_DB DATABASE .96 9 0
-ORDER_SERVICE INTERNAL .97 7 0
-ORDER_DB DATABASE .98 8 0
-AUDIT_SERVICE INTERNAL .99 3 0
-PAYMENT_GATEWAY_SECONDARY EXTERNAL .88 25 1
-"""
-DEMO_EDGES = """
-0-1 3/5000, 0-11 5/3000, 0-13 1/10000, 1-2 4/2000, 1-3 6/1500, 1-9 5/2500, 3-4 8/1000, 3-5 10/800,
-3-6 3/1200, 3-13 2/5000, 3-14 15/500*, 14-4 12/500*, 5-13 2/3000, 6-7 5/2000, 6-8 8/1500, 7-8 3/500*,
-9-10 6/2000, 9-11 4/1500, 11-12 5/1500, 11-3 7/800, 11-13 2/4000, 11-6 3/1000
-"""
+#: id, name, type, health, base latency, whether it has a fallback.
+DEMO_NODES = [
+    (0, "API_GATEWAY", "GATEWAY", 0.99, 2.0, False),
+    (1, "AUTH_SERVICE", "INTERNAL", 0.98, 5.0, False),
+    (2, "USER_DB", "DATABASE", 0.97, 8.0, False),
+    (3, "PAYMENT_SERVICE", "INTERNAL", 0.95, 12.0, True),
+    (4, "PAYMENT_DB", "DATABASE", 0.96, 10.0, False),
+    (5, "FRAUD_DETECTOR", "INTERNAL", 0.9, 20.0, False),
+    (6, "NOTIFICATION_SERVICE", "INTERNAL", 0.92, 4.0, False),
+    (7, "EMAIL_GATEWAY", "EXTERNAL", 0.85, 15.0, True),
+    (8, "SMS_GATEWAY", "EXTERNAL", 0.8, 18.0, True),
+    (9, "INVENTORY_SERVICE", "INTERNAL", 0.94, 6.0, False),
+    (10, "INVENTORY_DB", "DATABASE", 0.96, 9.0, False),
+    (11, "ORDER_SERVICE", "INTERNAL", 0.97, 7.0, False),
+    (12, "ORDER_DB", "DATABASE", 0.98, 8.0, False),
+    (13, "AUDIT_SERVICE", "INTERNAL", 0.99, 3.0, False),
+    (14, "PAYMENT_GATEWAY_SECONDARY", "EXTERNAL", 0.88, 25.0, True),
+]
+#: src, dst, weight, capacity, whether it is a fallback.
+DEMO_EDGES = [
+    (0, 1, 3.0, 5000.0, False),
+    (0, 11, 5.0, 3000.0, False),
+    (0, 13, 1.0, 10000.0, False),
+    (1, 2, 4.0, 2000.0, False),
+    (1, 3, 6.0, 1500.0, False),
+    (1, 9, 5.0, 2500.0, False),
+    (3, 4, 8.0, 1000.0, False),
+    (3, 5, 10.0, 800.0, False),
+    (3, 6, 3.0, 1200.0, False),
+    (3, 13, 2.0, 5000.0, False),
+    (3, 14, 15.0, 500.0, True),
+    (14, 4, 12.0, 500.0, True),
+    (5, 13, 2.0, 3000.0, False),
+    (6, 7, 5.0, 2000.0, False),
+    (6, 8, 8.0, 1500.0, False),
+    (7, 8, 3.0, 500.0, True),
+    (9, 10, 6.0, 2000.0, False),
+    (9, 11, 4.0, 1500.0, False),
+    (11, 12, 5.0, 1500.0, False),
+    (11, 3, 7.0, 800.0, False),
+    (11, 13, 2.0, 4000.0, False),
+    (11, 6, 3.0, 1000.0, False),
+]
 
 
 def demo(spark: SparkSession) -> PropertyGraph:
     """The example graph: 15 nodes, 22 edges."""
-    nodes = []
-    for i, line in enumerate(DEMO_NODES.strip().splitlines()):
-        name, kind, health, latency, fallback = line.split()
-        nodes.append((i, name, kind, float(health), float(latency), fallback == "1"))
-    edges = []
-    for item in DEMO_EDGES.replace("\n", " ").split(","):
-        ends, measures = item.split()
-        (s, d), (w, c) = ends.split("-"), measures.rstrip("*").split("/")
-        edges.append((int(s), int(d), float(w), float(c), measures.endswith("*")))
-    return from_rows(spark, nodes, edges)
+    return from_rows(spark, DEMO_NODES, DEMO_EDGES)

@@ -18,7 +18,7 @@ def con(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", ["boruvka_mst_whole", "dijkstra_whole", "pagerank_layer", "weakly_connected_components_layer"])
+@pytest.mark.parametrize("name", ["boruvka_mst", "prim_mst", "greedy_coloring", "dsatur_coloring", "find_bridges", "find_articulation_points", "pagerank_layer", "all_pairs_cost_of_tenths"])
 def test_whole_graphs(spark, sf_dir, con, name):
     assert rows(entry.queries()[name](spark, sf_dir).toPandas()) == rows(con.execute(entry.oracle_sql()[name]).df())
 
@@ -29,6 +29,6 @@ def test_no_link_is_left_out(spark, sf_dir, con, name, sign):
     assert sorted((r.src, r.dst) for r in graph(spark, sf_dir, name).edges.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("name", ["simulate_failure_all", "bipartite_colors_all", "compute_path_latency_all", "min_cut_edges_all", "has_fallback_path_all", "all_pairs_path_all"])
+@pytest.mark.parametrize("name", ["failure_probabilities", "bipartite_colors", "compute_path_latency", "min_cut_edges", "has_fallback_path", "all_pairs_path", "floyd_warshall"])
 def test_all_seeds(spark, sf_dir, con, name):
     assert rows(entry.queries()[name](spark, sf_dir).toPandas()) == rows(con.execute(entry.oracle_sql()[name]).df())
