@@ -30,8 +30,10 @@ def _restored(held: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or near no language's prototype, go."""
+    """Documents without letters, or near no language's prototype, go; where none could be learnt, those without letters."""
     model = language.fit(docs, remainder("doc_id", 3) != 1)
+    if not model:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     found = language.predict(_held(docs), model, keep_text=True)
     return _restored(found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_COSINE)), docs.columns)
 
