@@ -490,9 +490,9 @@ def bipartite_colors(g):
     return structure.is_bipartite(g)[1]
 
 
-@register("layer", FAIL + "SELECT seed, node, CAST(depth AS INT) AS depth, round(prob, 12) AS prob FROM p")
+@register("layer", FAIL + "SELECT seed, node, CAST(depth AS INT) AS depth, round(prob, 6) AS prob FROM p")
 def failure_probabilities(g):
-    return failure.probabilities(g, ids(g, "true")).select("seed", "node", "depth", F.round("prob", 12).alias("prob"))
+    return failure.probabilities(g, ids(g, "true")).select("seed", "node", "depth", F.round("prob", 6).alias("prob"))
 
 
 @register("layer", FAIL + "SELECT seed, CAST(max(depth) AS INT) AS cascade_depth, round(1 + coalesce(sum(CASE WHEN seed <> node AND prob >= 0.1 THEN prob END), 0), 6) AS impact, count(CASE WHEN seed <> node AND prob >= 0.1 THEN 1 END) AS affected FROM p GROUP BY seed")
