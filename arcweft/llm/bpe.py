@@ -19,6 +19,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,11 @@ REMEMBERED, TOKENS = 200_000, 1_500_000
 #: Symbols up to which a word's pairs are searched one after another for the least rank.
 SHORT = 32
 SUFFIX_BITS = 20
+#: Characters by which the longest token that begins with them is looked up.
+HEAD = 4
 #: Stands for the word end in spelt words, so that no part of its spelling is matched by itself.
 END = "\ue000"
-NO_MERGE = (1 << 60, -1)
+NO_MERGE = 1 << 60
 
 
 def byte_alphabet() -> list[str]:
@@ -64,16 +67,18 @@ class WordBPE:
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.text_of = {i: s for s, i in self.ids.items()} | {i: s for s, i in self.added.items()}
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.rank = {(self.ids[a], self.ids[b]): (r, self.ids[a + b]) for r, (a, b) in enumerate(merges)}
+        self.rank = {(self.ids[a], self.ids[b]): r for r, (a, b) in enumerate(merges)}
+        self.made = [self.ids[a + b] for a, b in merges]  # by rank
         n = max(self.text_of) + 1
         self.born = np.full(n, -1, np.int64)  # rank of the merge that makes a token, -1 for base symbols
         self.left, self.right = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
-        for (a, b), (r, made) in self.rank.items():
+        for (a, b), r in self.rank.items():
+            made = self.made[r]
             if self.born[made] < 0:
                 self.born[made], self.left[made], self.right[made] = r, a, b
         keys = np.array([(a << SUFFIX_BITS) | b for a, b in self.rank], np.int64)
         order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], np.array([r for r, _ in self.rank.values()], np.int64)[order]
+        self.keys, self.ranks = keys[order], np.array(list(self.rank.values()), np.int64)[order]
         self.alphabet = byte_alphabet()
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace("\\s", "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"))
@@ -90,10 +95,10 @@ class WordBPE:
                 self.proposed[s] = i
         for s in [s for s, i in self.proposed.items() if self.born[i] >= 0 and self.merged(s) != [i]]:
             del self.proposed[s]
-        self.reach: dict[str, int] = {}  # the longest token that begins with one or two characters
+        self.reach: dict[str, int] = {}  # the longest token that begins with HEAD characters; without one, tokens are shorter
         for s in self.proposed:
-            for k in (s[:1], s[:2]):
-                self.reach[k] = max(self.reach.get(k, 1), len(s))
+            if len(s) >= HEAD:
+                self.reach[s[:HEAD]] = max(self.reach.get(s[:HEAD], 0), len(s))
         self.index: dict[str, int] = {}
         self.flat, self.shown, self.start = array("i"), [], array("q", [0])
         self.table: np.ndarray | None = None
@@ -112,51 +117,47 @@ class WordBPE:
         return self._merge_short(parts) if len(parts) <= SHORT else self._merge_long(parts)
 
     def _merge_short(self, parts: list[int]) -> list[int]:
-        rank = self.rank
-        ranks = [rank.get(p, NO_MERGE)[0] for p in zip(parts, parts[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == NO_MERGE[0]:
-                break
+        rank_of = self.rank.get
+        ranks = list(map(rank_of, zip(parts, parts[1:]), repeat(NO_MERGE)))
+        while ranks and (least := min(ranks)) != NO_MERGE:
             i = ranks.index(least)
-            made = rank[parts[i], parts[i + 1]][1]
-            parts[i : i + 2] = [made]
-            del ranks[i]
+            made = parts[i] = self.made[least]
+            del parts[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = rank.get((parts[i - 1], made), NO_MERGE)[0]
+                ranks[i - 1] = rank_of((parts[i - 1], made), NO_MERGE)
             if i < len(ranks):
-                ranks[i] = rank.get((made, parts[i + 1]), NO_MERGE)[0]
+                ranks[i] = rank_of((made, parts[i + 1]), NO_MERGE)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
         """The same by a heap over linked symbols: n log n for words of any length."""
         rank, n = self.rank, len(parts)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(found[0], i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (found := rank.get((a, b)))]
+        heap = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank.get((a, b))) is not None]
         heapify(heap)
         while heap:
-            _, i, a, b = heappop(heap)
+            least, i, a, b = heappop(heap)
             j = right[i]
             # A symbol that has been merged away is -1, and an entry counts only while both its symbols stand.
             if parts[i] != a or j == n or parts[j] != b:
                 continue
-            made = rank[a, b][1]
+            made = self.made[least]
             parts[i], parts[j] = made, -1
             k = right[i] = right[j]
             if k < n:
                 left[k] = i
-                if found := rank.get((made, parts[k])):
-                    heappush(heap, (found[0], i, made, parts[k]))
+                if (r := rank.get((made, parts[k]))) is not None:
+                    heappush(heap, (r, i, made, parts[k]))
             h = left[i]
-            if h >= 0 and (found := rank.get((parts[h], made))):
-                heappush(heap, (found[0], h, parts[h], made))
+            if h >= 0 and (r := rank.get((parts[h], made))) is not None:
+                heappush(heap, (r, h, parts[h], made))
         return [p for p in parts if p >= 0]
 
     def speculate(self, spelt: str) -> list[int] | None:
         """Greedy longest match; None if some part has no token."""
         out, i, n, proposed, reach = [], 0, len(spelt), self.proposed, self.reach
         while i < n:
-            for j in range(min(n, i + reach.get(spelt[i : i + 2], 1)), i, -1):
+            for j in range(min(n, i + reach.get(spelt[i : i + HEAD], HEAD - 1)), i, -1):
                 if (t := proposed.get(spelt[i:j])) is not None:
                     out.append(t)
                     i = j
@@ -201,7 +202,7 @@ class WordBPE:
     def learn(self, words: list[str]) -> None:
         """Encode words that are not yet known."""
         if len(self.index) > REMEMBERED or len(self.flat) > TOKENS:
-            self.forget()
+            self.forget(words)
         new = [w for w in words if w not in self.index]
         if not new:
             return
@@ -223,8 +224,16 @@ class WordBPE:
             self.shown.append(" ".join([self.text_of[i] for i in ids]))
         self.table = None
 
-    def forget(self) -> None:
+    def forget(self, words: list[str]) -> None:
+        """Forget all words but these: of what is known, those of the present run are the frequent ones."""
+        index, flat, shown, start = self.index, self.flat, self.shown, self.start
         self.index, self.flat, self.shown, self.start, self.table = {}, array("i"), [], array("q", [0]), None
+        for w in words:
+            if (k := index.get(w)) is not None:
+                self.index[w] = len(self.shown)
+                self.flat.extend(flat[start[k] : start[k + 1]])
+                self.start.append(len(self.flat))
+                self.shown.append(shown[k])
 
     def normal(self, text: str) -> str:
         if text.isascii():
