@@ -110,12 +110,26 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def with_least(pairs: DataFrame, rows: int) -> DataFrame:
+    """(u, v, m): pairs (u, v) with m, the least v of u.  pairs: at most 2 * rows of them.
+
+    A node of over a 256th of rows is a hub.  There are fewer than 512, so their minima are broadcast and their pairs stay
+    where they are; a task of the join for the others gets no more than a 256th of rows for one node.
+    """
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    few = F.col("n") <= rows / 256
+    hubs = least.where(~few).select("u", F.col("m").alias("hub"))
+    marked = pairs.join(F.broadcast(hubs), "u", "left")
+    others = marked.where("hub is null").join(least.where(few).select("u", "m"), "u").select("u", "v", "m")
+    return others.union(marked.where("hub is not null").select("u", "v", F.col("hub").alias("m")))
+
+
 def linked_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v); component is the smallest node reachable.
 
     Alternates large-star and small-star steps, so rounds grow with the logarithm of the longest chain.
     A star step aggregates neighbours by min (partial before the shuffle) and joins the minimum back; a hub's
-    rows are never collected.  Each round is cut by a checkpoint.
+    rows are never collected.  Each step is cut by a checkpoint.
     """
     e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -127,10 +141,9 @@ def linked_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if not seen[0]:
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        starred = with_least(both, seen[0]).where("v > u")
+        large = cut(starred.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct())
+        small = with_least(large, seen[0]).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         e = cut(small.where("u <> v").distinct())
         now = print_of(e)
         if tuple(now) == tuple(seen):
