@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,8 @@ PIECES = 8
 MOST_ROUNDS = 100_000
 #: Rows of a wave that one task may number.
 SORTED_BY_ONE = 1_000_000
+#: Rows of a few ids that every task may hold.
+FEW = 250_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -43,6 +46,37 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Like cut(), in columns: a checkpoint's rows take some ten times the disk and are slow to read and write.
+
+    The files lie in the checkpoint folder until drop() or the end of the application.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.deleteOnExit(at)
+    if fs.getContentSummary(at).getLength() > 1 << 25:
+        sc._jvm.System.gc()  # else shuffle files stay until the driver happens to collect its garbage
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = (fs, at)
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete what stored() wrote; no plan may read it again."""
+    for fs, at in (x._stored_at for x in frames):
+        fs.delete(at, True)
+
+
+def few(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, sent to all tasks of a join if it has no more than FEW rows; rows: their number, where it is known."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= FEW else df
+
+
 def seeds_of(spark: SparkSession, seeds: DataFrame | Iterable[int]) -> DataFrame:
     """(seed, node) of a frame with column seed or id, or of a few ids."""
     if not isinstance(seeds, DataFrame):
@@ -51,28 +85,58 @@ def seeds_of(spark: SparkSession, seeds: DataFrame | Iterable[int]) -> DataFrame
     return seeds.select(F.col(name).alias("seed"), F.col(name).alias("node")).distinct()
 
 
+def sources(edges: DataFrame) -> DataFrame:
+    """(node, live): the nodes that edges lead away from."""
+    return stored(edges.where("src <> dst").select(F.col("src").alias("node")).distinct().withColumn("live", F.lit(True)))
+
+
 def expand(start: DataFrame, edges: DataFrame, most_rounds: int = MOST_ROUNDS, until: Column | None = None) -> DataFrame:
     """(seed, node, depth): hop distance from each seed's nearest start node, for all seeds in one loop.
 
-    start: (seed, node); edges: (src, dst).  Only nodes new in a round are joined in the next.  until: the loop ends
-    early after a round that found a row for which this holds.
+    start: (seed, node); edges: (src, dst).  Only nodes new in a round that edges lead away from are joined in the next,
+    and compared with what just their seeds have.  until: the loop ends early after a round that found a row for which
+    this holds.
     """
-    hops = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    frontier = cut(start.select("seed", "node").distinct().withColumn("depth", F.lit(0)))
-    state, pieces = frontier, 1
-    for depth in range(1, most_rounds + 1):
-        reached = frontier.join(hops, frontier["node"] == hops["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = cut(reached.join(state, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            return state
-        state, pieces = state.union(frontier), pieces + 1
-        if pieces >= PIECES:
-            state, pieces = cut(state.coalesce(max(1, state.rdd.getNumPartitions() // PIECES))), 1
-        if until is not None and not frontier.where(until).isEmpty():
-            return state
+    live = sources(edges)
+    lead = few(live)
+    flag = F.coalesce("live", F.lit(False)).alias("live")
+    # All edges into a node lie in one task, which so counts a seed's ways there as one before they are dealt out.
+    hops = edges.select("src", F.col("dst").alias("node")).where("src <> node").repartition("node").distinct()
+    hops = stored(hops.join(lead, "node", "left").select("src", "node", flag))
+    first = start.select("seed", "node").distinct().withColumn("depth", F.lit(0))
+    parts = [stored(first.join(lead, "node", "left").select("seed", "node", "depth", flag))]
+    # Where each seed starts at itself, nothing is found twice in the first round.
+    own = parts[0].where("not (seed <=> node)").isEmpty()
+    try:
+        for depth in range(1, most_rounds + 1):
+            frontier = parts[-1].where("live").select("seed", F.col("node").alias("src"))
+            rows = frontier.count()
+            if not rows:
+                return _union(parts)
+            if until is not None and depth > 1 and not parts[-1].where(until).isEmpty():
+                return _union(parts)
+            reached = hops.join(few(frontier, rows), "src").select("seed", "node", "live")
+            if depth > 1 or not own:
+                active = few(frontier.select("seed").distinct())
+                known = _union(parts).select("seed", "node").join(active, "seed", "left_semi")
+                reached = reached.distinct().join(known, ["seed", "node"], "left_anti")
+            parts.append(stored(reached.select("seed", "node", F.lit(depth).alias("depth"), "live")))
+            if len(parts) > PIECES:
+                old = parts[:-1]
+                parts = [stored(_union(old, "live")), parts[-1]]
+                drop(*old)
+    finally:
+        drop(hops, live)
     raise RuntimeError("expand did not end")
 
 
+def _union(parts: list[DataFrame], *more: str) -> DataFrame:
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    return out.select("seed", "node", "depth", *more)
+
+
 def relax(start: DataFrame, edges: DataFrame, best: str = "min", most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, bool]:
     """(seed, node, value), and whether it settled: the least (or greatest) sum of w over walks from start values.
 
