@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,21 +159,51 @@ def max_flow(g: PropertyGraph, pairs: DataFrame, use_capacity_field: bool = True
     """
     if not pairs.where("src = sink").isEmpty():
         raise ValueError("src and sink must differ")
-    ab = pairs.select(F.col("src").alias("a"), F.col("sink").alias("b")).distinct()
-    parts = between(g, ab).where("src <> dst").groupBy("a", "b", "src", "dst").agg(F.sum("capacity" if use_capacity_field else "weight").alias("c"))
+    solved = _solved(g, pairs, use_capacity_field)
+    return solved.select("src", "sink", F.coalesce("max_flow", F.lit(0.0)).alias("max_flow"), F.coalesce("source_side", F.array("src")).alias("source_side"))
 
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        a, b = int(part["a"].iloc[0]), int(part["b"].iloc[0])
-        cap: dict[int, dict[int, float]] = {}
-        for u, v, c in zip(part["src"].tolist(), part["dst"].tolist(), part["c"].tolist(), strict=True):
-            cap.setdefault(u, {})[v] = cap.get(u, {}).get(v, 0.0) + c
-            cap.setdefault(v, {}).setdefault(u, 0.0)
-        value, side = _max_flow(cap, a, b)
-        return pd.DataFrame([(a, b, value, sorted(side))], columns=["src", "sink", "max_flow", "source_side"])
 
-    found = parts.groupBy("a", "b").applyInPandas(solve, "src int, sink int, max_flow double, source_side array<int>")
-    out = pairs.select("src", "sink").distinct().join(found, ["src", "sink"], "left")
-    return out.select("src", "sink", F.coalesce("max_flow", F.lit(0.0)).alias("max_flow"), F.coalesce("source_side", F.array("src")).alias("source_side"))
+def _solved(g: PropertyGraph, pairs: DataFrame, use_capacity_field: bool = True) -> DataFrame:
+    """(src, sink, max_flow, source_side, cut_from, cut_to) of each pair, null where no walk leads.
+
+    The edges of a pair follow each other in one task, which takes many pairs one after the other: a call of Python for
+    each pair would take longer than the flow.
+    """
+    ab = pairs.select(F.col("src").alias("a"), F.col("sink").alias("b")).distinct()
+    ways = between(g, ab).where("src <> dst").select("a", "b", "src", "dst", F.col("capacity" if use_capacity_field else "weight").alias("c"))
+    parts = ways.repartition("a", "b").sortWithinPartitions("a", "b")
+    schema = "src int, sink int, max_flow double, source_side array<int>, cut_from array<int>, cut_to array<int>"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("src", pa.int32()), ("sink", pa.int32()), ("max_flow", pa.float64()), *((x, pa.list_(pa.int32())) for x in names[3:])])
+        own, cap, rows = None, {}, []
+
+        def settle() -> None:
+            ends = [(u, v) for u, out in cap.items() for v, c in out.items() if c > 0]
+            value, side = _max_flow(cap, *own)
+            across = [(u, v) for u, v in ends if u in side and v not in side]
+            rows.append((*own, value, sorted(side), [u for u, _ in across], [v for _, v in across]))
+
+        for batch in batches:
+            for a, b, u, v, c in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if own != (a, b):
+                    if own:
+                        settle()
+                    own, cap = (a, b), {}
+                out = cap.setdefault(u, {})
+                out[v] = out.get(v, 0.0) + (c or 0.0)
+                cap.setdefault(v, {}).setdefault(u, 0.0)
+            if len(rows) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+                rows.clear()
+        if own:
+            settle()
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, k.type) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    found = parts.mapInArrow(solve, schema)
+    return pairs.select("src", "sink").distinct().join(found, ["src", "sink"], "left")
 
 
 dinic = edmonds_karp = max_flow  # the value and the least source side do not depend on how paths are chosen
@@ -204,6 +235,19 @@ def min_cut_edges(g: PropertyGraph, side: DataFrame) -> DataFrame:
     return leave.join(side.select("src", "sink", F.col("node").alias("v")), ["src", "sink", "v"], "left_anti").select("src", "sink", "u", "v", "adj_idx")
 
 
+def cheapest_cut(g: PropertyGraph, pairs: DataFrame) -> DataFrame:
+    """(src, sink, u, v, adj_idx, capacity): the edges with capacity that min_cut_edges() finds for min_cut() of max_flow().
+
+    They lie on walks from src to sink, all of them: off these, an edge with capacity that leaves the source side leads to
+    a node that belongs to it.  So the rest of the source side, which may be most of the graph for each pair, is not listed.
+    """
+    if not pairs.where("src = sink").isEmpty():
+        raise ValueError("src and sink must differ")
+    across = _solved(g, pairs).where("max_flow > 0").select("src", "sink", F.explode(F.arrays_zip("cut_from", "cut_to")).alias("x"))
+    e = g.edges.where("capacity > 0").select(F.col("src").alias("u"), F.col("dst").alias("v"), "adj_idx", "capacity")
+    return across.select("src", "sink", F.col("x.cut_from").alias("u"), F.col("x.cut_to").alias("v")).join(e, ["u", "v"]).select("src", "sink", "u", "v", "adj_idx", "capacity")
+
+
 def compute_path_latency(g: PropertyGraph, paths: DataFrame) -> DataFrame:
     """(path_id, latency) of (path_id, path): the first node's latency, then the cheapest edge and the next node's.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from arcweft.model import PropertyGraph
 from arcweft.operators.traversal import Seeds, reach, seeds_of
-from arcweft.plans.loops import MOST_ROUNDS, cut, expand, relax
+from arcweft.plans.loops import MOST_ROUNDS, cut, expand, relax, stored
 
 
 def _weights(g: PropertyGraph) -> DataFrame:
@@ -121,11 +121,35 @@ def pair_paths(pairs: DataFrame, all_pairs: DataFrame, most_rounds: int = MOST_R
 
 
 def between(g: PropertyGraph, pairs: DataFrame) -> DataFrame:
-    """(a, b, src, dst, adj_idx, weight, capacity, is_fallback): for each pair (a, b) the edges on walks from a to b."""
-    ahead = reach(g, pairs.select(F.col("a").alias("seed"))).select(F.col("seed").alias("a"), F.col("node").alias("src"))
-    turned = g.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    back = expand(pairs.select(F.col("b").alias("seed"), F.col("b").alias("node")).distinct(), turned).select(F.col("seed").alias("b"), F.col("node").alias("dst"))
-    return pairs.select("a", "b").distinct().join(ahead, "a").join(g.edges, "src").join(back, ["b", "dst"]).select("a", "b", "src", "dst", "adj_idx", "weight", "capacity", "is_fallback")
+    """(a, b, src, dst, adj_idx, weight, capacity, is_fallback): for each pair (a, b) the edges on walks from a to b.
+
+    An edge is on one if a reaches its source and its end reaches b.  Three orders of joins find the same edges: by what
+    meets at an edge, which pairs then sift, or from the pairs by all edges that a or b can come to.  The one with
+    the fewest rows on the way is taken.
+    """
+    ab = pairs.select("a", "b").distinct()
+    ahead = reach(g, ab.select(F.col("a").alias("seed"))).select(F.col("seed").alias("a"), F.col("node").alias("src"))
+    edges = stored(g.edges)
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    back = expand(ab.select(F.col("b").alias("seed"), F.col("b").alias("node")).distinct(), turned).select(F.col("seed").alias("b"), F.col("node").alias("dst"))
+    ends = edges.select("src", "dst")
+    counted = lambda df, key, name: df.groupBy(key).agg(F.count("*").alias(name))
+    total = lambda df, x: df.agg(F.sum(F.expr(x).cast("double"))).first()[0] or 0.0
+    to_src, from_dst = counted(ahead, "src", "p"), counted(back, "dst", "q")
+    by_edge = total(ends.join(to_src, "src").join(from_dst, "dst"), "p * q + p")
+    by_a = total(ab.join(ahead.join(counted(ends, "src", "o"), "src").groupBy("a").agg(F.sum("o").alias("n")), "a"), "n")
+    by_b = total(ab.join(back.join(counted(ends, "dst", "o"), "dst").groupBy("b").agg(F.sum("o").alias("n")), "b"), "n")
+    ab.sparkSession.sparkContext._jvm.System.gc()  # the counts' shuffle files
+    if by_edge <= min(by_a, by_b):
+        found = edges.join(ahead, "src").join(back, "dst")
+        n, m, k = ab.agg(F.count("*"), F.count_distinct("a"), F.count_distinct("b")).first()
+        if n < m * k:  # else every a goes with every b
+            found = found.join(ab, ["a", "b"], "left_semi")
+    elif by_a <= by_b:
+        found = ab.join(edges.join(ahead, "src"), "a").join(back, ["b", "dst"], "left_semi")
+    else:
+        found = ab.join(edges.join(back, "dst"), "b").join(ahead, ["a", "src"], "left_semi")
+    return found.select("a", "b", "src", "dst", "adj_idx", "weight", "capacity", "is_fallback")
 
 
 def dijkstra_path(edges: dict[int, dict[int, float]], a: int, b: int, banned_nodes: frozenset[int] = frozenset(), banned_edges: frozenset[tuple[int, int]] = frozenset()) -> tuple[float, list[int]] | None:
