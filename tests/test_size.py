@@ -26,7 +26,7 @@ def written(spark, run) -> float:
     return (size() - before) / 1e6
 
 
-@pytest.mark.parametrize("name", ["compute_blast_radius", "run_parallel_analysis", "transitive_closure"])
+@pytest.mark.parametrize("name", ["compute_blast_radius", "run_parallel_analysis", "transitive_closure", "reachable_set", "failure_probabilities", "simulate_failure", "parallel_totals"])
 def test_little_is_written_for_each_pair(spark, name):
     run = lambda: entry.queries()[name](spark, DATA).write.format("noop").mode("overwrite").save()
     assert written(spark, run) < PAIRS * BYTES / 1e6
