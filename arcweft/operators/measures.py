@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ from arcweft.model import PropertyGraph
 from arcweft.operators.paths import between, path_edges, path_to
 from arcweft.operators.structure import CycleError, waves
 from arcweft.operators.traversal import reach
-from arcweft.plans.loops import cut, peel, relax
+from arcweft.plans.loops import FEW, PIECES, cut, few, peel, relax, stored
 
 EPSILON = 1e-9
 SAMPLES, JITTER = 10_000, 0.20
@@ -151,18 +152,96 @@ def _max_flow(cap: dict[int, dict[int, float]], s: int, t: int) -> tuple[float,
                     rest[path[-1]].pop()
 
 
-def max_flow(g: PropertyGraph, pairs: DataFrame, use_capacity_field: bool = True) -> DataFrame:
+def max_flow(g: PropertyGraph, pairs: DataFrame, use_capacity_field: bool = True, sides: bool = True) -> DataFrame:
     """(src, sink, max_flow, source_side array): for each pair; ValueError if src = sink.
 
     Only edges on walks from src to sink can carry flow, and only they are gathered; pairs run in parallel.  The
-    source side holds the nodes of those walks that the residual network reaches from src.
+    source side holds the nodes of those walks that the residual network reaches from src.  Without sides that column is
+    left out, and networks shrink before they are gathered.
     """
     if not pairs.where("src = sink").isEmpty():
         raise ValueError("src and sink must differ")
+    if not sides:
+        solved = pairs.select("src", "sink").distinct().join(_flows(g, pairs, use_capacity_field).select("src", "sink", "max_flow"), ["src", "sink"], "left")
+        return solved.select("src", "sink", F.coalesce("max_flow", F.lit(0.0)).alias("max_flow"))
     solved = _solved(g, pairs, use_capacity_field)
     return solved.select("src", "sink", F.coalesce("max_flow", F.lit(0.0)).alias("max_flow"), F.coalesce("source_side", F.array("src")).alias("source_side"))
 
 
+def _flows(g: PropertyGraph, pairs: DataFrame, use_capacity_field: bool = True, cuts: bool = False) -> DataFrame:
+    """(src, sink, max_flow, cut array of (u, v), which is null without cuts): the pairs with a flow, maybe more."""
+    shrunk, rest = _shrunk(g, pairs, use_capacity_field, cuts)
+    if rest is None:
+        return shrunk
+    found = _solved(g, rest, use_capacity_field).where("max_flow is not null")
+    crossing = F.arrays_zip(F.col("cut_from").alias("u"), F.col("cut_to").alias("v"))
+    found = found.select("src", "sink", "max_flow", (crossing if cuts else F.lit(None)).cast("array<struct<u:int,v:int>>").alias("cut"))
+    return found if shrunk is None else shrunk.union(found)
+
+
+def _shrunk(g: PropertyGraph, pairs: DataFrame, use_capacity_field: bool, cuts: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """(the flows of the pairs whose networks shrink to one edge, the other pairs); either may be None.
+
+    Where each node before a sink has one edge into it at most, a node passes on to the sink what it can send there, but
+    no more than that edge brings: from the deepest nodes up, each is taken out and its edge to the sink added to that
+    of the node above it.  A sink's edges lie in one task meanwhile.  The least source side ends at the first full edge.
+    """
+    every = stored(g.edges.where("src <> dst").select("src", "dst", F.coalesce("capacity" if use_capacity_field else "weight", F.lit(0.0)).alias("c")))
+    if not every.where("c < 0 or isnan(c)").isEmpty():
+        return None, pairs
+    e = every.where("c > 0")
+    live = stored(e.select(F.col("src").alias("v")).distinct())
+    nodes = live.count()
+    into = e.select(F.col("dst").alias("v"), "src", "c").join(few(live, nodes), "v").groupBy("v").agg(F.min("src").alias("up"), F.max("src").alias("most"), F.sum("c").alias("cap"))
+    into = stored(into)
+    alone = into.where("up = most").drop("most")
+    parts = [stored(live.join(into, "v", "left_anti").select("v", F.lit(None).cast("int").alias("up"), F.lit(None).cast("double").alias("cap"), F.lit(0).alias("depth")))]
+    rows, deepest, reached = parts[0].count(), 0, 0
+    while rows:
+        reached += rows
+        parts.append(stored(few(parts[-1].select(F.col("v").alias("up")), rows).join(alone, "up").select("v", "up", "cap", F.lit(deepest + 1).alias("depth"))))
+        rows = parts[-1].count()
+        deepest += bool(rows)
+        if len(parts) > PIECES:
+            parts = [stored(reduce(DataFrame.union, parts[:-1])), parts[-1]]
+    tree = stored(reduce(DataFrame.union, parts))
+    ab = pairs.select(F.col("src").alias("v"), F.col("sink").alias("b")).distinct()
+    ways, rest = e.select(F.col("dst").alias("b"), F.col("src").alias("v"), F.col("c").alias("f")), None
+    if reached < nodes:
+        other = stored(ways.join(few(tree.select("v"), reached), "v", "left_anti").select("b").distinct())
+        rest = stored(pairs.join(few(other.withColumnRenamed("b", "sink")), "sink", "left_semi").select("src", "sink").distinct())
+        ways = ways.join(few(other), "b", "left_anti")
+    ends, begins = ab.select("b").distinct(), stored(ab.select("v").distinct().withColumn("own", F.lit(True)))
+    if (sinks := ends.count()) <= FEW:
+        ways = ways.join(F.broadcast(ends), "b", "left_semi")
+    at = {r["depth"] for r in tree.join(few(begins), "v").select("depth").distinct().collect()}
+    edge = lambda u, v: F.array(F.struct(F.col(u).alias("u"), F.col(v).alias("v")))
+    total = [F.sum("f").alias("f"), *([F.flatten(F.collect_list("cut")).alias("cut")] if cuts else [])]
+    state = ways.repartition("b").groupBy("b", "v").agg(F.sum("f").alias("f")).withColumn("done", F.lit(False))
+    if cuts:
+        state = state.withColumn("cut", edge("v", "b"))
+    for depth in range(deepest, min(at, default=deepest), -1):
+        state = state.join(few(tree.where(f"depth = {depth}").select("v", "up", "cap")), "v", "left")
+        goes = ~F.col("done") & F.col("up").isNotNull()
+        on = [F.when(goes, F.col("up")).otherwise(F.col("v")).alias("v"), F.when(goes, F.least("f", "cap")).otherwise(F.col("f")).alias("f"), F.col("done")]
+        stay = ["v", "f", F.lit(True).alias("done")]
+        if cuts:
+            on.append(F.when(goes & (F.col("cap") - F.col("f") <= EPSILON), edge("up", "v")).otherwise(F.col("cut")).alias("cut"))
+            stay.append("cut")
+        if depth in at:  # what a source of pairs can send is kept before it is passed on
+            state = state.join(few(begins), "v", "left")
+            both = F.when(goes & F.col("own"), F.array(F.struct(*stay), F.struct(*on))).otherwise(F.array(F.struct(*on)))
+            state = state.select("b", F.explode(both).alias("x")).select("b", "x.*")
+        else:
+            state = state.select("b", *on)
+        state = state.groupBy("b", "v", "done").agg(*total)
+        if (deepest - depth) % PIECES == PIECES - 1:
+            state = stored(state).repartition("b")
+    state = state.join(few(begins.select("v")), "v", "left_semi")
+    across = (F.col("cut") if cuts else F.lit(None)).cast("array<struct<u:int,v:int>>")
+    return state.select(F.col("v").alias("src"), F.col("b").alias("sink"), F.col("f").alias("max_flow"), across.alias("cut")), rest
+
+
 def _solved(g: PropertyGraph, pairs: DataFrame, use_capacity_field: bool = True) -> DataFrame:
     """(src, sink, max_flow, source_side, cut_from, cut_to) of each pair, null where no walk leads.
 
@@ -243,9 +322,10 @@ def cheapest_cut(g: PropertyGraph, pairs: DataFrame) -> DataFrame:
     """
     if not pairs.where("src = sink").isEmpty():
         raise ValueError("src and sink must differ")
-    across = _solved(g, pairs).where("max_flow > 0").select("src", "sink", F.explode(F.arrays_zip("cut_from", "cut_to")).alias("x"))
+    asked = _flows(g, pairs, cuts=True).join(pairs.select("src", "sink").distinct(), ["src", "sink"], "left_semi")
+    across = asked.where("max_flow > 0").select("src", "sink", F.explode("cut").alias("x"))
     e = g.edges.where("capacity > 0").select(F.col("src").alias("u"), F.col("dst").alias("v"), "adj_idx", "capacity")
-    return across.select("src", "sink", F.col("x.cut_from").alias("u"), F.col("x.cut_to").alias("v")).join(e, ["u", "v"]).select("src", "sink", "u", "v", "adj_idx", "capacity")
+    return across.select("src", "sink", "x.u", "x.v").join(e, ["u", "v"]).select("src", "sink", "u", "v", "adj_idx", "capacity")
 
 
 def compute_path_latency(g: PropertyGraph, paths: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 import pytest
 from test_edges import make
 
+import __spark_entry__ as entry
 from arcweft.operators import measures, paths
 
 
@@ -41,3 +42,49 @@ def test_cheapest_cut(spark):
     assert key(found) == key(cuts)
     sums = {(r.src, r.sink): r.s for r in found.groupBy("src", "sink").agg({"capacity": "sum"}).toDF("src", "sink", "s").collect()}
     assert {(r.src, r.sink): r.max_flow for r in flows.collect() if r.max_flow} == sums
+
+
+def shapes(kind):
+    """Trees above sinks of many edges; with mixed, edges across the trees, a cycle and edges of next to no capacity as well."""
+    rng = random.Random(11)
+    ends = [(rng.randrange(v), v) for v in range(2, 12)] + [(rng.randrange(12), s) for s in range(12, 18) for _ in range(5)]
+    caps = [float(rng.randrange(5)) for _ in ends]
+    if kind == "mixed":
+        ends += [(3, 7), (12, 14), (15, 4), (1, 2), (18, 19), (19, 18), (19, 16)]
+        caps += [2.0, 1.0, 3.0, 2.0, 4.0, 4.0, 1e-10]
+    return [(a, b, 1, c) for (a, b), c in zip(ends, caps, strict=True)]
+
+
+def solved(edges, a, b):
+    """The value, and the edges of some capacity that leave the least source side, by the solver on the whole graph."""
+    cap = {}
+    for u, v, _, c in edges:
+        cap.setdefault(u, {})[v] = cap.get(u, {}).get(v, 0.0) + c
+        cap.setdefault(v, {}).setdefault(u, 0.0)
+    value, side = measures._max_flow(cap, a, b)
+    return value, {(u, v) for u, v, _, c in edges if c > 1e-9 and u in side and v not in side}
+
+
+@pytest.mark.parametrize("kind", ["trees", "mixed"])
+def test_shrunk_networks(spark, kind):
+    """Flows and cuts of networks that shrink, all or some, are those of the solver, for sources at all depths."""
+    edges = shapes(kind)
+    g = make(spark, 20, edges)
+    ab = [(a, b) for a in range(20) for b in range(2, 20) if a != b and (a * b) % 7]
+    pairs = spark.createDataFrame(ab, "src int, sink int")
+    want = {p: solved(edges, *p) for p in ab}
+    got = {(r.src, r.sink): r.max_flow for r in measures.max_flow(g, pairs, sides=False).collect()}
+    assert got == pytest.approx({p: x for p, (x, _) in want.items()}, abs=1e-8) and any(got.values())
+    cuts = {}
+    for r in measures.cheapest_cut(g, pairs).where("capacity > 1e-9").collect():
+        cuts.setdefault((r.src, r.sink), set()).add((r.u, r.v))
+    assert {p: x for p, x in cuts.items() if got[p] > 1e-8} == {p: x for p, (f, x) in want.items() if f > 1e-8}
+
+
+@pytest.mark.parametrize("name", ["edmonds_karp", "dinic", "min_cut_edges"])
+def test_layers_need_no_gathered_networks(spark, sf_dir, monkeypatch, name):
+    def gathered(*_):
+        raise AssertionError("edges of each pair gathered")
+
+    monkeypatch.setattr(measures, "between", gathered)
+    assert not entry.queries()[name](spark, sf_dir).isEmpty()
