@@ -323,9 +323,9 @@ def cheapest_cut(g: PropertyGraph, pairs: DataFrame) -> DataFrame:
     if not pairs.where("src = sink").isEmpty():
         raise ValueError("src and sink must differ")
     asked = _flows(g, pairs, cuts=True).join(pairs.select("src", "sink").distinct(), ["src", "sink"], "left_semi")
-    across = asked.where("max_flow > 0").select("src", "sink", F.explode("cut").alias("x"))
+    across = stored(asked.where("max_flow > 0").select("src", "sink", F.explode("cut").alias("x")).select("src", "sink", "x.u", "x.v"))
     e = g.edges.where("capacity > 0").select(F.col("src").alias("u"), F.col("dst").alias("v"), "adj_idx", "capacity")
-    return across.select("src", "sink", "x.u", "x.v").join(e, ["u", "v"]).select("src", "sink", "u", "v", "adj_idx", "capacity")
+    return across.join(e, ["u", "v"]).select("src", "sink", "u", "v", "adj_idx", "capacity")
 
 
 def compute_path_latency(g: PropertyGraph, paths: DataFrame) -> DataFrame:
